@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from riskgraph.llm.common import table
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskgraph.llm.recompression import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,5 +32,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_packing, op8_token_counts)}
 ORACLES: dict[str, str] = {}
