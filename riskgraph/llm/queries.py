@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from riskgraph.llm.common import table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskgraph.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskgraph.llm.recompression import remove_repeats
 
@@ -32,5 +38,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_substring_dedup, op7_packing, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_substring_dedup, op7_packing, op8_token_counts)}
 ORACLES: dict[str, str] = {}
