@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import cut, pick, shuffle_width
+from riskgraph.llm.common import pick, shuffle_width
 
 #: Rounds of naming; each shortens a text to about three quarters.
 ROUNDS = 6
@@ -155,8 +155,11 @@ def repeated(mark: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return twice, np.append(True, ~equal)[: len(mark)]
 
 
-def replies(frame: pd.DataFrame) -> pd.DataFrame:
-    """One row a document of this part: its key and the values of its marks that are repeated."""
+TOLD = T.StructType([T.StructField("to", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("values", T.BinaryType())])
+
+
+def replies(frame: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Keys and values of this part's repeated marks, bundled by the part of their key."""
 
     def read(name: str, kind: type) -> np.ndarray:
         blobs = [K.unpack_sorted(b) if name in ("mark", "seen") else K.unpack(b, kind) for b in frame[name] if b is not None]
@@ -172,12 +175,25 @@ def replies(frame: pd.DataFrame) -> pd.DataFrame:
     told = order[repeated(mark[order], check[order])[0]]
     told = told[told < n]
     key, value = np.concatenate([key[told], read("own_key", np.uint64)]), np.concatenate([value[told], read("own_value", np.uint64)])
+    to = (key % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((key, to))
+    bounds = np.searchsorted(to[order], np.arange(parts + 1))
+    key, value = key[order], value[order]
+    some = np.flatnonzero(np.diff(bounds)).tolist()
+    each = [(K.pack_sorted(key[bounds[p] : bounds[p + 1]]), K.pack(value[bounds[p] : bounds[p + 1]])) for p in some]
+    return pd.DataFrame({"to": some, "keys": [k for k, _ in each], "values": [v for _, v in each]})
+
+
+def gather(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row a document of this part: its key and its distinct values. A document has no more of them than words."""
+    key = np.concatenate([K.unpack_sorted(b) for b in frame["keys"]])
+    value = np.concatenate([K.unpack(b, np.uint64) for b in frame["values"]])
     order = np.lexsort((value, key))
     key, value = key[order], value[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (value[1:] != value[:-1]))[: len(key)]
+    new = np.append(True, (key[1:] != key[:-1]) | (value[1:] != value[:-1]))
     key, value = key[new], value[new]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    return pd.DataFrame({"key": K.signed(key[head]), "found": [x.tobytes() for x in np.split(value, head[1:])] if len(head) else []})
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return pd.DataFrame({"key": K.signed(key[head]), "found": [x.tobytes() for x in np.split(value, head[1:])]})
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35, rounds: int = ROUNDS, longest: int = LONGEST) -> DataFrame:
@@ -201,15 +217,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 yield from out.add(name, np.zeros(len(name), np.uint32), keys[row], name)
         yield from out.flush()
 
-    def answered(told: DataFrame) -> DataFrame:
-        """Every row with all its answers; a row's answers are as many as its own symbols at most."""
-        return keyed.join(told.groupBy("key").agg(F.collect_list("found").alias("found")), "key", "left").select("doc_id", "text", "key", "found")
+    def answered(bundles: DataFrame) -> DataFrame:
+        """Every row with the values of its marks that are repeated. Both times the same exchange of the texts serves."""
+        told = bundles.groupBy("part").applyInPandas(lambda frame: replies(frame, parts), TOLD)
+        return keyed.join(told.groupBy("to").applyInPandas(gather, REPLY), "key", "left").select("doc_id", "text", "key", "found")
 
     def found_in(column: pa.Array, i: int) -> np.ndarray:
-        blobs = column[i].as_py()
-        return np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]) if blobs else np.zeros(0, np.uint64)
+        return np.frombuffer(column[i].as_py() or b"", np.uint64)
 
-    shared = keyed.select("key", "text").mapInArrow(find_signs, Bundles.SCHEMA).groupBy("part").applyInPandas(replies, REPLY)
+    shared = keyed.select("key", "text").mapInArrow(find_signs, Bundles.SCHEMA)
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Bundles(parts)
@@ -240,8 +256,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     yield from out.add(one, (two >> np.uint64(32)).astype(np.uint32), keys[which], (at - bounds[which]).astype(np.uint64))
         yield from out.flush()
 
-    bundled = answered(shared).mapInArrow(find_windows, Bundles.SCHEMA)
-    windows = cut(bundled.groupBy("part").applyInPandas(replies, REPLY))
+    windows = answered(shared).mapInArrow(find_windows, Bundles.SCHEMA)
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
