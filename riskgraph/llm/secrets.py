@@ -72,22 +72,26 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: Column | None = None, repo: Column | None = None) -> DataFrame:
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, base (array of spans), found (base and added spans), n_live and n_copied for every row of df.
 
     Spans: start, end (code points, end exclusive), rank, kind and value, by start, then kind. Base spans are the matches
     of BASE and always stay. Every candidate value in the corpus gets the number of distinct owners and repositories that
     hold it: one that COPIED owners hold is a copied example (n_copied counts such base spans), one of at most OWNED owners is
     owner-specific (n_live). A MIXED span is added if its value is owner-specific and looks random, and no base span
-    overlaps it. owner, repo: columns of df, by default source and source with lang.
+    overlaps it. owner, repo: the
+    columns that tell an owner, and those that together tell a repository.
 
     A null text is empty. A null owner or repository is one of its own. Repeated rows stay, each with its own result. Other
     columns are left out. Holders of a value are counted by distinct (value, owner, repository), (value, owner) and value,
     so no value's holders meet in one task, and its counts go back to salted shares of them.
     """
-    owner = F.coalesce(F.col("source"), F.lit("")) if owner is None else owner
-    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if repo is None else repo
-    rows = df.select(owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = dict.fromkeys((doc_id, text, owner, *repo))
+    df = pick(df, *names).toDF(*(f"c{i}" for i in range(len(names))))
+    at = {name: F.col(f"c{i}") for i, name in enumerate(names)}
+    whose = F.coalesce(at[owner].cast("string"), F.lit(""))
+    where = F.concat_ws("/", *(F.coalesce(at[c].cast("string"), F.lit("")) for c in repo))
+    rows = df.select(whose.alias("owner"), where.alias("repo"), at[doc_id].alias("doc_id"), F.coalesce(at[text], F.lit("")).alias("text"))
     base = F.array_sort(F.concat(*(spans(F.col("text"), i, k, *p) for i, (k, p) in enumerate(BASE.items()))))
     more = F.filter(spans(F.col("text"), len(BASE), *MIXED), lambda x: looks_random(x["value"]))
     rows = rows.select("doc_id", "owner", "repo", F.xxhash64("doc_id", "text", "owner", "repo").alias("key"), base.alias("base"), more.alias("more"))
