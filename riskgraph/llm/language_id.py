@@ -18,6 +18,8 @@ from riskgraph.llm.common import pick
 UNKNOWN = "und"
 #: Lengths of the n-grams, in code points of the lower-cased text.
 LENGTHS = (1, 2, 3)
+#: Tasks that count the sample.
+FIT_TASKS = 16
 #: Bytes of text scored at once.
 PIECE = 1 << 19
 #: Bytes that the broadcast matrix may have; with too many languages the n-grams share fewer hash buckets instead.
@@ -87,7 +89,8 @@ def fit(labelled: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, alpha
             bucket = np.append(np.flatnonzero(total), -1)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(bucket)), pa.array(bucket), pa.array(np.append(total[bucket[:-1]], texts[language]))], names=["lang", "bucket", "n"])
 
-    counts = usable.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    # the sample is bounded, so a fixed number of tasks counts it, and what they hand on is bounded too
+    counts = usable.select("text", "lang").repartition(FIT_TASKS).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique().tolist())
     at = {x: i for i, x in enumerate(languages)}
     table = np.full((buckets, len(languages)), 0.0)
@@ -125,17 +128,19 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     the first by name wins. Repeated rows stay; other columns are left out; the step is narrow.
     """
     known = df.sparkSession.sparkContext.broadcast(model)
-    source = pick(df, *keep, text).toDF(*(f"k{i}" for i in range(len(keep))), "text")
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    columns = keep if text in keep else (*keep, text)
+    at = columns.index(text)
+    source = pick(df, *columns).toDF(*(f"k{i}" for i in range(len(columns))))
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, odds = [], []
-            for piece in text_pieces(batch.column(batch.num_columns - 1)):
+            for piece in text_pieces(batch.column(at)):
                 a, b = score(piece, known.value)
                 found += a
                 odds += b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(odds, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(odds, pa.float64())], names=schema.names)
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
