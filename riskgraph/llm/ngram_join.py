@@ -22,13 +22,17 @@ from riskgraph.llm import kernels as K
 from riskgraph.llm.common import components, cut, drop_table, pick, shuffle_width
 
 #: Documents from which a token is common, and goes last in the first order.
-COMMON = 64
-#: Common tokens that may be broadcast, 8 bytes each; if there are more, only the more common ones go last.
-MOST_COMMON = 1_000_000
+COMMON = 4
 #: Tokens below this come first in the first order, and of these alone the documents are counted.
 COUNTED = np.uint64(1 << 63)
 #: Tokens that a task holds before it hands them on.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Bits a member of the filters that are broadcast, and the most there are, 16 MB. The filter of common tokens may hold some
+#: more tokens, as any order is right that is the same everywhere, and if there are too many for it only the commoner ones go
+#: last. The filter of needed sets, too full, lets more sets through than are needed, never fewer.
+FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27
+#: Bits of a token that verification compares. Tokens of two sets of n words that differ agree in them by n * n / 2**48.
+COMPARED = 48
 #: Changes of a token that make the other orders.
 ORDERS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93))
 
@@ -65,23 +69,40 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def other_prefixes(tokens: np.ndarray, percent: int) -> list[bytes]:
-    """Under each other order the low halves of the prefix; a half can only admit a pair too many."""
+    """Under each other order the high halves of the prefix, ascending; a half can only admit a pair too many."""
     p = prefix_size(len(tokens), percent)
     out = []
     for change in ORDERS:
         order = K.mix(tokens ^ change)
         first = np.partition(order, p - 1)[:p] if p < len(order) else order
-        out.append(np.sort(first.astype(np.uint32)).tobytes())
+        out.append(np.sort((first >> np.uint64(32)).astype(np.uint32)).tobytes())
     return out
 
 
-def share(a: bytes, b: bytes) -> bool:
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two prefixes under one order allow their sets to be similar: they share a token, and up to where the first of
+    them ends, where both show all they have, no more tokens differ than similar sets differ in altogether."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    return bool((y[at] == x).any())
+    both = np.intersect1d(x, y)
+    if not len(both):
+        return False
+    end = min(x[-1], y[-1])
+    differ = len(np.unique(x[x < end])) + len(np.unique(y[y < end])) - 2 * int((both < end).sum())
+    # a prefix of p tokens is that of a set of at most p * 100 / (100 - percent), so this is no tighter than the sizes allow
+    return differ * (100 + percent) <= (len(x) + len(y)) * 100
+
+
+def pack_set(tokens: np.ndarray) -> bytes:
+    """The low bits of a set's tokens, ascending, as packed differences."""
+    low = np.sort(tokens & np.uint64((1 << COMPARED) - 1))
+    return np.diff(low, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[: COMPARED // 8].tobytes()
+
+
+def unpack_set(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(COMPARED // 8, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : COMPARED // 8] = planes.T
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def binary(*names: str) -> list[T.StructField]:
@@ -103,8 +124,27 @@ def parted(parts: int, by: np.ndarray, ascending: np.ndarray, *rest: np.ndarray)
         yield p, [K.pack_sorted(mine[0]), *(K.pack(c) for c in mine[1:])]
 
 
+def filter_of(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column member, two bits each, made by Spark; the driver gets its words alone."""
+    bits, n = 1 << 16, members.count()
+    while bits < MOST_FILTER_BITS and bits < FILTER_BITS * n:
+        bits *= 2
+    marks = members.select(F.explode(F.array(F.col("member").bitwiseAND(bits - 1), F.shiftrightunsigned("member", 32).bitwiseAND(bits - 1))).alias("bit"))
+    marks = marks.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def in_filter(words: np.ndarray, members: np.ndarray) -> np.ndarray:
+    mask, out = np.uint64(64 * len(words) - 1), np.ones(len(members), bool)
+    for bit in (members & mask, (members >> np.uint64(32)) & mask):
+        out &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
-    """The counted tokens of at least COMMON documents, ascending; fewer, still commoner ones if there are too many."""
+    """A filter of the counted tokens of at least COMMON documents, or of still commoner ones if there are too many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, classes = [], 0, set()
@@ -142,19 +182,14 @@ def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
     counted = texts.mapInArrow(count, T.StructType([*longs("part"), *binary("tokens", "many")]))
     common = cut(counted.groupBy("part").applyInPandas(add_up, T.StructType(longs("token", "many"))))
     least = COMMON
-    while common.where(F.col("many") >= least).count() > MOST_COMMON:
+    while common.where(F.col("many") >= least).count() * FILTER_BITS > MOST_FILTER_BITS:
         least *= 2
-    found = common.where(F.col("many") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
+    words = filter_of(common.where(F.col("many") >= least).select(F.col("token").alias("member")))
     drop_table(common)
-    return np.sort(found.view(np.uint64))
+    return words
 
 
-def near_edges(first: int, size: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be as similar as percent to a set of the first size."""
-    return np.minimum(size, first) * 100 >= np.maximum(size, first) * percent
-
-
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df.
 
     A row's set: the distinct shingles of n words of its text ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), all its words as one
@@ -162,8 +197,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     100 * intersection >= percent * union. component_id: the least doc_id reachable by links, its own included; it is null
     only if all doc_ids reached are. Repeated rows stay, linked with each other; other columns are left out.
 
-    Equal sets are one class and are joined once. No pairs within a group are emitted: in each group of one prefix token
-    every member meets the group's least key; those that verification leaves in other components meet each other then.
+    Equal sets are one class and are joined once. No pairs within a group are emitted: every class first meets the one class
+    that shares most with most others in its groups of one prefix token; only members of a group that verification leaves
+    in different components meet each other then.
     """
     source = pick(df, doc_id, text).toDF("doc_id", "text")
     spark, parts = df.sparkSession, shuffle_width(source)
@@ -172,13 +208,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def first_order(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
         """The prefix of each set: uncommon counted tokens, uncounted ones, common ones, each in ascending order."""
-        last = common.value
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        is_common = np.zeros(len(flat), bool)
-        if len(last):
-            at = np.searchsorted(last, flat)
-            at[at == len(last)] = 0
-            is_common = last[at] == flat
+        is_common = flat < COUNTED
+        is_common[is_common] = in_filter(common.value, flat[is_common])
         begin = 0
         for tokens in sets:
             mine = is_common[begin : begin + len(tokens)]
@@ -187,49 +219,36 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
             out = tokens[~mine][:p] if mine[: 2 * p].any() else tokens[:p]
             yield np.concatenate([out, tokens[mine][: p - len(out)]]) if len(out) < p else out
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents, and the (token, class, size) of all prefixes by part."""
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The (token, class, size) of all prefixes by part; a class that a task meets again adds nothing."""
         held: list[tuple] = []
         size, classes = 0, set()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             token = np.concatenate([t for t, _, _ in held])
             many = [len(t) for t, _, _ in held]
             key = np.repeat(np.array([k for _, k, _ in held], np.int64), many)
             length = np.repeat(np.array([m for _, _, m in held], np.uint32), many)
             rows = list(parted(parts, token, token, key, length))
-            none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), key_type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([p for p, _ in rows], pa.int64()), *(pa.array([b[i] for _, b in rows], pa.binary()) for i in range(3)), pa.array([False] * len(rows))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), *(pa.array([b[i] for _, b in rows], pa.binary()) for i in range(3))], names=["part", "tokens", "keys", "sizes"])
 
         for batch in batches:
-            lengths, keys = [], []
-            for _, _, data, offsets in K.pieces(batch.column(1)):
+            for _, _, data, offsets in K.pieces(batch.column(0)):
                 sets = shingle_sets(data, offsets, n)
                 for tokens, prefix in zip(sets, first_order(sets), strict=True):
                     key = set_key(tokens)
-                    lengths.append(len(tokens))
-                    keys.append(key)
                     if len(tokens) and key not in classes:
                         classes.add(key)
                         held.append((prefix, key, len(tokens)))
                         size += len(prefix)
                 if size >= HELD:
-                    yield from flush()
+                    yield flush()
                     held, size = [], 0
-            none = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int64()), *(none.cast(pa.binary()) for _ in range(3)), pa.array([True] * len(keys))], names=schema.names)
         if size:
-            yield from flush()
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = to_arrow_type(source.schema["doc_id"].dataType)
-    schema = T.StructType([source.schema["doc_id"], *longs("n_shingles", "class", "part"), *binary("tokens", "keys", "sizes"), T.StructField("is_doc", T.BooleanType())])
-    described = cut(source.mapInArrow(describe, schema), "is_doc")
-    docs = described.where("is_doc").select("doc_id", "n_shingles", "class")
+            yield flush()
 
     def groups(frame: pd.DataFrame) -> pd.DataFrame:
-        """For each group of one token its members (b null), if they are over two, and the pairs (a, b) to try first."""
+        """The members of each group of one token that has more than one, and how many it has."""
         token = np.concatenate([K.unpack_sorted(b) for b in frame["tokens"]])
         key = np.concatenate([K.unpack(b, np.int64) for b in frame["keys"]])
         size = np.concatenate([K.unpack(b, np.uint32) for b in frame["sizes"]]).astype(np.int64)
@@ -238,66 +257,68 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
         token, key, size = token[new], key[new], size[new]
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        tail = np.append(head[1:], len(token))
-        out: list[tuple] = []
-        for a, b in zip(head[tail - head > 1].tolist(), tail[tail - head > 1].tolist(), strict=True):
-            rest = np.arange(a, b)
-            if b - a > 2:
-                out.append((token[a:b], key[a:b], None, size[a:b]))
-            while len(rest) > 1:
-                near = near_edges(size[rest[0]], size[rest], percent)
-                leaves = rest[1:][near[1:]]
-                if len(leaves):
-                    out.append((token[leaves], np.full(len(leaves), key[rest[0]]), key[leaves], size[leaves]))
-                rest = rest[~near]
-        if not out:
-            return pd.DataFrame({"token": [], "a": [], "b": [], "size": []}, dtype="int64")
-        b = np.concatenate([np.zeros(len(t), np.int64) if y is None else y for t, _, y, _ in out])
-        member = np.concatenate([np.full(len(t), y is None) for t, _, y, _ in out])
-        columns = [np.concatenate([x[i] for x in out]) for i in (0, 1, 3)]
-        return pd.DataFrame({"token": K.signed(columns[0]), "a": columns[1], "b": pd.array(b, "Int64"), "size": columns[2]}).assign(b=lambda f: f["b"].mask(member))
-
-    bundles = described.where("not is_doc").select("part", "tokens", "keys", "sizes")
-    grouped = cut(bundles.groupBy("part").applyInPandas(groups, T.StructType(longs("token", "a", "b", "size"))))
-    drop_members = grouped.where("b is null")
-    tried = cut(grouped.where("b is not null").select("a", "b").distinct())
-
-    # whole sets of the classes that are in a group at all, one document for each
-    needed = grouped.select(F.col("a").alias("class")).union(tried.select("b")).distinct()
-    chosen = docs.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(needed, "class", "left_semi")
-
-    def describe_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, _, data, offsets in K.pieces(batch.column(0)):
-                for tokens in shingle_sets(data, offsets, n):
-                    if len(tokens):
-                        rows.append((set_key(tokens), len(tokens), *other_prefixes(tokens, percent), tokens.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["class", "size", "one", "two", "tokens"])
+        many = np.diff(np.append(head, len(token)))
+        group = np.repeat(np.arange(len(head)), many)
+        member = many[group] > 1
+        at = np.flatnonzero(member)
+        return pd.DataFrame({"token": K.signed(token[at]), "node": key[at], "size": size[at], "many": many[group[at]]})
+
+    bundles = texts.mapInArrow(prefixes, T.StructType([*longs("part"), *binary("tokens", "keys", "sizes")]))
+    members = cut(bundles.groupBy("part").applyInPandas(groups, T.StructType(longs("token", "node", "size", "many"))))
+    # what others were copied from shares most of its tokens with most others: the centre that a member meets first
+    weight = members.groupBy("node").agg((F.sum("many") / F.max("size")).alias("weight"))
+    weighed = members.join(weight, "node")
+    centre = weighed.groupBy("token").agg(F.max(F.struct("weight", "node", "size")).alias("c"))
+    near = F.least("size", "c.size") * 100 >= F.greatest("size", "c.size") * percent
+    tried = weighed.join(centre, "token").where((F.col("node") != F.col("c.node")) & near)
+    tried = cut(tried.groupBy(F.col("node").alias("b")).agg(F.max("c").alias("c")).select(F.col("c.node").alias("a"), "b"))
+
+    # all documents once more: their classes, and the sets of those classes that are in some group
+    needed = members.select("node").distinct()
+    may_need = spark.sparkContext.broadcast(filter_of(needed.withColumnRenamed("node", "member")))
 
-    kept = source.join(chosen.select(F.col("doc_id").alias("id")).distinct(), F.expr("doc_id <=> id"), "left_semi").select("text")
-    sets = kept.mapInArrow(describe_sets, T.StructType([*longs("class", "size"), *binary("one", "two", "tokens")]))
-    sets = cut(sets.join(needed, "class", "left_semi").dropDuplicates(["class"]))
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = set()
+        for batch in batches:
+            lengths, keys, rows = [], [], []
+            for _, _, data, offsets in K.pieces(batch.column(1)):
+                sets = shingle_sets(data, offsets, n)
+                mine = [set_key(tokens) for tokens in sets]
+                lengths += map(len, sets)
+                keys += mine
+                for tokens, key, some in zip(sets, mine, in_filter(may_need.value, np.array(mine, np.int64).view(np.uint64)).tolist(), strict=True):
+                    if some and len(tokens) and key not in classes:
+                        classes.add(key)
+                        rows.append((key, len(tokens), *other_prefixes(tokens, percent), pack_set(tokens)))
+            none = pa.nulls(len(keys), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(keys, pa.int64()), none, none, none, pa.array([True] * len(keys))], names=schema.names)
+            # rows of sets carry some id, as a struct can't be null in all Arrow readers
+            ids = batch.column(0).take(pa.array([0] * len(rows), pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)), pa.array([False] * len(rows))], names=schema.names)
+
+    schema = T.StructType([source.schema["doc_id"], *longs("n_shingles", "class"), *binary("one", "two", "tokens"), T.StructField("is_doc", T.BooleanType())])
+    described = cut(source.mapInArrow(describe, schema), "is_doc")
+    docs = described.where("is_doc").select("doc_id", "n_shingles", "class")
+    sets = described.where("not is_doc").select("class", "one", "two", "tokens")
 
     def other_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *prefixes = (c.to_pylist() for c in batch.columns)
-            some = [i for i, (p, q, r, s) in enumerate(zip(*prefixes, strict=True)) if share(p, q) and share(r, s)]
+            some = [i for i, (p, q, r, s) in enumerate(zip(*prefixes, strict=True)) if may_link(p, q, percent) and may_link(r, s, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, one, two = (c.to_pylist() for c in batch.columns)
             links = []
-            for p, q, r, s in zip(a, b, one, two, strict=True):
-                x, y = np.frombuffer(r, np.uint64), np.frombuffer(s, np.uint64)
+            for p, q, one, two in zip(*batch.columns, strict=True):
+                x, y = unpack_set(one.as_buffer()), unpack_set(two.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
                 if 100 * both >= percent * (len(x) + len(y) - both):
-                    links.append((p, q))
+                    links.append((p.as_py(), q.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
 
     pair = T.StructType(longs("a", "b"))
@@ -305,24 +326,34 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that link."""
         for step, columns in ((other_orders, ("one", "two")), (verify, ("tokens",))):
-            for side in ("a", "b"):
-                pairs = pairs.join(sets.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-            pairs = pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b"))).mapInArrow(step, pair)
+            once = sets.select("class", *columns).dropDuplicates(["class"])
+            for side in ("b", "a"):
+                pairs = pairs.join(once.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+            pairs = cut(pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b"))).mapInArrow(step, pair))
         return pairs
 
-    links = cut(linked(tried))
+    links = linked(tried)
     parted_by = components(links)
-    members = drop_members.select("token", F.col("a").alias("node"), "size").join(parted_by, "node", "left")
-    members = members.select("token", "node", "size", F.coalesce("component", "node").alias("component"))
-    several = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    members = cut(members.join(several, "token", "left_semi"))
-    one, two = (members.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component"))) for s in "ab")
+    rest = members.join(parted_by, "node", "left")
+    rest = rest.select("token", "node", "size", F.coalesce("component", "node").alias("component"))
+    several = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    rest = cut(rest.join(several, "token", "left_semi"))
+    one, two = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component"))) for s in "ab")
     across = one.join(two, "token").where("node_a < node_b and component_a <> component_b")
     across = across.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     found = components(links.union(linked(across)))
     by_class = docs.where("class <> 0").select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
     by_class = by_class.groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("doc_id").alias("component_id"))
     out = docs.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     out = out.join(by_class, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, **options) -> DataFrame:
+    """df (doc_id, text, lang, source, n_chars) with one row of each component, that of the least doc_id; of its twins one."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = pick(df, *columns).withColumn("tag", F.xxhash64(*columns))
+    found = jaccard_components(rows.select(F.struct("doc_id", "tag").alias("id"), "text"), doc_id="id", **options)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id.tag").alias("tag"))
+    return rows.join(stay, "tag", "left_semi").dropDuplicates(["tag"]).select(*columns)

@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
