@@ -33,6 +33,8 @@ HELD = 1_000_000
 FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27
 #: Bits of a token that verification compares. Tokens of two sets of n words that differ agree in them by n * n / 2**48.
 COMPARED = 48
+#: Classes of a block; a task of verification holds the sets of two blocks.
+BLOCK = 4000
 #: Changes of a token that make the other orders.
 ORDERS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93))
 
@@ -307,30 +309,36 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
             some = [i for i, (p, q, r, s) in enumerate(zip(*prefixes, strict=True)) if may_link(p, q, percent) and may_link(r, s, percent)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for p, q, one, two in zip(*batch.columns, strict=True):
-                x, y = unpack_set(one.as_buffer()), unpack_set(two.as_buffer())
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    links.append((p.as_py(), q.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], names=["a", "b"])
+    def verify(held: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        """Links among the pairs of one block of classes with another; held has each class's set once."""
+        known = {node: unpack_set(blob) for node, blob in zip(held["node"], held["tokens"], strict=True)}
+        links = []
+        for p, q in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+            x, y = known[p], known[q]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int((y[at] == x).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links.append((p, q))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     pair = T.StructType(longs("a", "b"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link."""
-        for step, columns in ((other_orders, ("one", "two")), (verify, ("tokens",))):
-            once = sets.select("class", *columns).dropDuplicates(["class"])
-            for side in ("b", "a"):
-                pairs = pairs.join(once.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-            pairs = cut(pairs.select("a", "b", *(f"{side}_{c}" for c in columns for side in ("a", "b"))).mapInArrow(step, pair))
-        return pairs
+        """Those of the pairs that link: filtered by the other orders' prefixes, then verified block by block, so that a set
+        goes to each block it has a pair in, not to each pair."""
+        once = sets.select("class", "one", "two").dropDuplicates(["class"])
+        for side in ("b", "a"):
+            pairs = pairs.join(once.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("one", "two"))), side)
+        pairs = cut(pairs.select("a", "b", "a_one", "b_one", "a_two", "b_two").mapInArrow(other_orders, pair))
+        blocks = max(1, -(-pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().count() // BLOCK))
+        pairs = pairs.select("a", "b", *(F.pmod(F.xxhash64(side), F.lit(blocks)).alias(f"block_{side}") for side in ("a", "b")))
+        places = ("block_a", "block_b")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), *(F.col(c).alias(f"of_{c}") for c in places)).distinct()
+        held = ends.join(sets.select(F.col("class").alias("node"), "tokens").dropDuplicates(["node"]), "node")
+        return cut(held.groupBy(*(f"of_{c}" for c in places)).cogroup(pairs.groupBy(*places)).applyInPandas(verify, pair))
 
     links = linked(tried)
     parted_by = components(links)
