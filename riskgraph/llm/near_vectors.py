@@ -18,6 +18,8 @@ from riskgraph.llm.common import components, cut, pick
 TABLES, PROJECTIONS, WIDTH = 20, 6, 1.0
 #: Vectors of a bucket that meet in one task; larger buckets are dealt into blocks of so many, and blocks meet in pairs.
 BLOCK = 512
+#: Rows of buckets that a task works through at a time, about.
+TASK_ROWS = 8192
 
 
 def projections(dim: int, tables: int, each: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -82,47 +84,59 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, vec_id: str = "vec_i
     reply = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        """Links of each class (b null), and a spanning forest of them (n null)."""
-        t, i, j = frame["table"].iloc[0], frame["i"].iloc[0], frame["j"].iloc[0]
-        frame = frame.sort_values("class", ignore_index=True)
-        x = np.stack([np.frombuffer(v) for v in frame["vector"]])
-        keys = np.stack([np.frombuffer(k, np.uint64) for k in frame["keys"]])
-        block, ids, copies = frame["block"].to_numpy(), frame["class"].to_numpy(), frame["copies"].to_numpy()
-        x = x / np.abs(x).max(1, keepdims=True)
-        norm = np.sqrt((x * x).sum(1))
-        links, tree = np.zeros(len(x), np.int64), np.arange(len(x))
-        forest = []
-
-        def root(a: int) -> int:
-            while tree[a] != a:
-                tree[a] = tree[tree[a]]
-                a = tree[a]
-            return a
-
-        for a in range(0, len(x), BLOCK):
-            near = (x[a : a + BLOCK] @ x.T) / np.outer(norm[a : a + BLOCK], norm) >= threshold
-            if i != j:
-                near &= block[a : a + BLOCK, None] != block[None, :]
-            p, q = np.nonzero(near)
-            p += a
-            p, q = p[p < q], q[p < q]
-            if len(p) and t:
-                new = ~(keys[p, :t] == keys[q, :t]).any(1)
-                p, q = p[new], q[new]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            for u, v in zip(p.tolist(), q.tolist(), strict=True):
-                u, v = root(u), root(v)
-                if u != v:
-                    tree[max(u, v)] = min(u, v)
-                    forest.append((ids[u], ids[v]))
-        some = links > 0
-        a = np.concatenate([ids[some], np.array([f[0] for f in forest], np.int64)])
-        b = pd.array([None] * int(some.sum()) + [int(f[1]) for f in forest], "Int64")
-        n = pd.array([*links[some].tolist(), *[None] * len(forest)], "Int64")
-        return pd.DataFrame({"a": a, "b": b, "n": n})
-
-    met = cut(dealt.groupBy("bucket", "table", "i", "j").applyInPandas(meet, reply))
+        """Of all meetings in the frame: links of each class (b null), and spanning forests of them (n null)."""
+        frame = frame.sort_values(["table", "bucket", "i", "j", "class"], ignore_index=True)
+        table_, i_, j_, block_, ids_, copies_ = (frame[c].to_numpy() for c in ("table", "i", "j", "block", "class", "copies"))
+        new = np.zeros(len(frame), bool)
+        for c in ("table", "bucket", "i", "j"):
+            v = frame[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        heads = np.append(np.flatnonzero(np.append(True, new[1:])), len(frame))
+        all_keys = np.frombuffer(b"".join(frame["keys"]), np.uint64).reshape(len(frame), tables)
+        links = np.zeros(len(frame), np.int64)
+        forest: list[tuple[int, int]] = []
+        for begin, end in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            t, x = table_[begin], np.frombuffer(b"".join(frame["vector"].iloc[begin:end])).reshape(end - begin, -1)
+            keys, block, copies = all_keys[begin:end], block_[begin:end], copies_[begin:end]
+            x = x / np.abs(x).max(1, keepdims=True)
+            norm = np.sqrt((x * x).sum(1))
+            tree = list(range(end - begin))
+
+            def root(a: int, tree: list[int] = tree) -> int:
+                while tree[a] != a:
+                    tree[a] = tree[tree[a]]
+                    a = tree[a]
+                return a
+
+            for a in range(0, len(x), BLOCK):
+                near = (x[a : a + BLOCK] @ x.T) / np.outer(norm[a : a + BLOCK], norm) >= threshold
+                if i_[begin] != j_[begin]:
+                    near &= block[a : a + BLOCK, None] != block[None, :]
+                p, q = np.nonzero(near)
+                p += a
+                p, q = p[p < q], q[p < q]
+                if len(p) and t:
+                    first = ~(keys[p, :t] == keys[q, :t]).any(1)
+                    p, q = p[first], q[first]
+                if not len(p):
+                    continue
+                links[begin:end] += np.bincount(p, copies[q], end - begin).astype(np.int64) + np.bincount(q, copies[p], end - begin).astype(np.int64)
+                for u, v in zip(p.tolist(), q.tolist(), strict=True):
+                    u, v = root(u), root(v)
+                    if u != v:
+                        tree[max(u, v)] = min(u, v)
+                        forest.append((int(ids_[begin + u]), int(ids_[begin + v])))
+        counted, which = np.unique(ids_[links > 0], return_inverse=True)
+        sums = np.bincount(which, links[links > 0], len(counted)).astype(np.int64)
+        a = np.concatenate([counted, np.array([f[0] for f in forest], np.int64)])
+        none = np.append(np.ones(len(counted), bool), np.zeros(len(forest), bool))
+        b = pd.arrays.IntegerArray(np.append(np.zeros(len(counted), np.int64), np.array([f[1] for f in forest], np.int64)), none)
+        return pd.DataFrame({"a": a, "b": b, "n": pd.arrays.IntegerArray(np.append(sums, np.zeros(len(forest), np.int64)), ~none)})
+
+    # small buckets share a task's frame; a meeting of two blocks is never split
+    width = max(1, sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // TASK_ROWS)
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "table", "i", "j"), F.lit(width)))
+    met = cut(dealt.groupBy("task").applyInPandas(meet, reply))
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "class")
     found = components(met.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
     of = classes.select("label", "embedding", "class", "copies").join(counts, "class", "left").join(found, "class", "left")
