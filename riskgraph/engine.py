@@ -61,7 +61,7 @@ class RiskEngine:
         return rings.detect_rings(self.edges(), risk)
 
     def flows(self, accounts: DataFrame, hops: int = 4) -> DataFrame:
-        return graph.flow_paths(graph.money(self.ledger, self.accounts), accounts, hops)
+        return graph.flow_paths(graph.money(self.ledger, self.accounts), accounts, hops, least_hops=1)
 
     def ctr(self, threshold: float = rules.C.CTR_THRESHOLD) -> DataFrame:
         return compliance.ctr_candidates(self.ledger, threshold)

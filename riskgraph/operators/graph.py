@@ -161,9 +161,9 @@ def propagate(neighbours: DataFrame, values: DataFrame, columns: list[str]) -> D
     return joined.groupBy(F.col("src").alias("account")).agg(*(F.round(F.sum(F.col("part") * F.col(c)), 6).alias(c) for c in columns))
 
 
-def flow_paths(transfers: DataFrame, starts: DataFrame, hops: int = 3, seconds: int = 72 * 3600, fan_out: int = 3) -> DataFrame:
+def flow_paths(transfers: DataFrame, starts: DataFrame, hops: int = 3, seconds: int = 72 * 3600, fan_out: int = 3, least_hops: int = 2) -> DataFrame:
     """Money trails from the accounts of starts: each hop later than the one before by at most the seconds, the fan_out
-    largest of them, no account twice. One row a trail of two or more hops, as long as it got at each length.
+    largest of them, no account twice. One row a trail of least_hops or more, as long as it got at each length.
 
     start, accounts, paise (of each hop), hops, retention (last over first), seconds (first to last).
     """
@@ -175,13 +175,14 @@ def flow_paths(transfers: DataFrame, starts: DataFrame, hops: int = 3, seconds:
 
     paths = largest(step.join(starts.select(F.col("account").alias("src")), "src", "left_semi"), ["src"])
     paths = paths.select(F.col("src").alias("start"), F.array("src", "dst").alias("accounts"), F.array("paise").alias("amounts"), F.array("ts_s").alias("times"), F.array("txn_id").alias("txns"))
-    found: DataFrame | None = None
-    for _ in range(hops - 1):
+    found = paths if least_hops < 2 else None
+    for length in range(2, hops + 1):
         last, at = F.element_at("accounts", -1), F.element_at("times", -1)
         longer = paths.join(step, (last == F.col("src")) & (F.col("ts_s") > at) & (F.col("ts_s") <= at + seconds) & ~F.array_contains("accounts", F.col("dst")))
         longer = largest(longer, ["start", "txns"])
         paths = longer.select("start", F.array_append("accounts", F.col("dst")).alias("accounts"), F.array_append("amounts", F.col("paise")).alias("amounts"), F.array_append("times", F.col("ts_s")).alias("times"), F.array_append("txns", F.col("txn_id")).alias("txns"))
-        found = paths if found is None else found.union(paths)
+        if length >= least_hops:
+            found = paths if found is None else found.union(paths)
     return found.select(
         "start", F.array_join("accounts", ">").alias("accounts"), F.size("amounts").cast("long").alias("hops"), (F.element_at("amounts", -1) / F.element_at("amounts", 1)).alias("retention"),
         (F.element_at("times", -1) - F.element_at("times", 1)).alias("seconds"), F.array_join("txns", ">").alias("txns"),

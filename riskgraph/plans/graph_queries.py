@@ -72,8 +72,7 @@ def fanout_propagation(spark, sf):
 
 
 def flow_paths(spark, sf):
-    accounts = S.read_accounts(spark, sf)
-    return G.flow_paths(transfers_of(spark, sf), accounts.where("account % 50 = 0"))
+    return G.flow_paths(transfers_of(spark, sf), S.read_accounts(spark, sf), hops=4, least_hops=1)
 
 
 def ego_network(spark, sf):
