@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 
 from riskgraph.operators.graph import connected_components, settled
 
-#: Guards: least flagged members, most members, least flagged share, least mean risk.
+#: Guards: least flagged members, most members, least flagged share, least mean risk of the flagged.
 MIN_FLAGGED, MAX_SIZE, MIN_SHARE, MIN_RISK = 3, 60, 0.35, 50.0
 
 
-def communities(frame: pd.DataFrame, resolution: float) -> dict[int, int]:
-    """Greedy modularity moves, accounts in ascending order until none gains; each community is named by its least member."""
-    near: dict[int, dict[int, float]] = {}
-    for s, d, w in frame[["src", "dst", "weight"]].itertuples(index=False):
-        near.setdefault(s, {})[d] = near.setdefault(s, {}).get(d, 0.0) + w
-        near.setdefault(d, {})[s] = near.setdefault(d, {}).get(s, 0.0) + w
-    degree = {a: sum(n.values()) for a, n in near.items()}
-    total = sum(degree.values())
+def moves(near: dict[int, dict[int, float]], degree: dict[int, float], resolution: float, total: float) -> dict[int, int]:
+    """Greedy modularity moves, nodes in ascending order until none gains."""
     home, mass = {a: a for a in near}, dict(degree)
     for _ in range(50):
         moved = False
@@ -35,17 +29,45 @@ def communities(frame: pd.DataFrame, resolution: float) -> dict[int, int]:
             mass[best] += degree[a]
         if not moved:
             break
-    least: dict[int, int] = {}
-    for a, c in home.items():
-        least[c] = min(least.get(c, a), a)
-    return {a: least[c] for a, c in home.items()}
+    return home
+
 
+def communities(frame: pd.DataFrame, resolution: float, total: float | None = None) -> dict[int, int]:
+    """Louvain: moves, then the same among the communities as nodes, until none join. Each is named by its least member.
 
-def detect_rings(edges: DataFrame, risk: DataFrame, threshold: float = 55.0, resolution: float = 1.0, seeds: int = 2000) -> DataFrame:
+    total is twice the weight of the whole graph, of which frame may be one component.
+    """
+    near: dict[int, dict[int, float]] = {}
+    for s, d, w in frame[["src", "dst", "weight"]].itertuples(index=False):
+        near.setdefault(s, {})[d] = near.setdefault(s, {}).get(d, 0.0) + w
+        near.setdefault(d, {})[s] = near.setdefault(d, {}).get(s, 0.0) + w
+    degree = {a: sum(n.values()) for a, n in near.items()}
+    total = total or sum(degree.values())
+    home = {a: a for a in near}
+    while True:
+        step, least = moves(near, degree, resolution, total), {}
+        for a, c in step.items():
+            least[c] = min(least.get(c, a), a)
+        if len(least) == len(near):
+            return home
+        step = {a: least[c] for a, c in step.items()}
+        home = {a: step[c] for a, c in home.items()}
+        joined: dict[int, dict[int, float]] = {c: {} for c in least.values()}
+        mass = dict.fromkeys(joined, 0.0)
+        for a, links in near.items():
+            mass[step[a]] += degree[a]
+            for b, w in links.items():
+                if step[a] != step[b]:
+                    joined[step[a]][step[b]] = joined[step[a]].get(step[b], 0.0) + w
+        near, degree = joined, mass
+
+
+def detect_rings(edges: DataFrame, risk: DataFrame, threshold: float = 55.0, resolution: float = 4.0, seeds: int = 2000) -> DataFrame:
     """ring, members, size, flagged, mean_risk, density, typology, strongest first.
 
     The subgraph is that of the riskiest accounts over the threshold, at most so many (a report's limit, as each component of
-    it is worked on in one task), and their device neighbours.
+    it is worked on in one task), and their device neighbours. Modularity is that of the whole subgraph, so a component's
+    communities depend on its share of it. mean_risk is over flagged members alone.
     """
     risky = risk.where(F.col("risk") >= threshold).orderBy(F.col("risk").desc(), "account").limit(seeds).select("account")
     device = edges.where("kind = 'DEVICE'").select("src", "dst").union(edges.where("kind = 'DEVICE'").select("dst", "src"))
@@ -54,17 +76,19 @@ def detect_rings(edges: DataFrame, risk: DataFrame, threshold: float = 55.0, res
     inside = settled(inside.select("src", "dst", "weight", "kind"))
     parts = connected_components(nodes, inside)
 
+    total = 2 * (inside.agg(F.sum("weight")).first()[0] or 0)
+
     def split(frame: pd.DataFrame) -> pd.DataFrame:
-        found = communities(frame, resolution)
+        found = communities(frame, resolution, total)
         return pd.DataFrame({"account": list(found), "ring": list(found.values())}).astype("int64")
 
     home = inside.join(parts.select(F.col("account").alias("src"), "component"), "src").groupBy("component").applyInPandas(split, "account long, ring long")
     members = settled(home).join(risk, "account")
-    rings = members.groupBy("ring").agg(F.array_sort(F.collect_list("account")).alias("members"), F.count("*").alias("size"), F.count_if(F.col("risk") >= threshold).alias("flagged"), F.avg("risk").alias("mean_risk"))
+    rings = members.groupBy("ring").agg(F.array_sort(F.collect_list("account")).alias("members"), F.count("*").alias("size"), F.count_if(F.col("risk") >= threshold).alias("flagged"), F.avg(F.when(F.col("risk") >= threshold, F.col("risk"))).alias("mean_risk"))
     rings = rings.where((F.col("flagged") >= MIN_FLAGGED) & (F.col("size") <= MAX_SIZE) & (F.col("flagged") / F.col("size") >= MIN_SHARE) & (F.col("mean_risk") >= MIN_RISK))
     a, b = (members.select(F.col("account").alias(s), F.col("ring").alias(f"ring_{s}")) for s in ("src", "dst"))
     own = inside.join(a, "src").join(b, "dst").where("ring_src = ring_dst")
     held = own.groupBy(F.col("ring_src").alias("ring")).agg(F.count("*").alias("links"), F.avg((F.col("kind") == "DEVICE").cast("double")).alias("device_share"))
     rings = rings.join(held, "ring").withColumn("density", F.round(2 * F.col("links") / (F.col("size") * (F.col("size") - 1)), 6))
     kind = F.when(F.col("device_share") > 0.5, "DEVICE_FARM").when(F.col("links") == F.col("size") - 1, "CHAIN_OR_STAR").when(F.col("density") > 0.5, "DENSE").otherwise("CLUSTER")
-    return rings.select("ring", F.array_join("members", ",").alias("members"), "size", "flagged", F.round("mean_risk", 6).alias("mean_risk"), "density", kind.alias("typology")).orderBy(F.desc(F.col("mean_risk") * F.col("size")), "ring")
+    return rings.select("ring", F.array_join("members", ",").alias("members"), "size", "flagged", F.round("mean_risk", 6).alias("mean_risk"), "density", kind.alias("typology")).orderBy(F.desc(F.col("mean_risk") * F.col("flagged")), "ring")

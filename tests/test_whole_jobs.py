@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 
+from riskgraph.operators import rings
 from riskgraph.plans import graph_queries
 
 ACCOUNTS = "account long, kyc string, vintage_days long, age long, merchant boolean"
@@ -49,3 +52,48 @@ def test_flow_paths_from_every_account(spark, small_world, transfers):
     got = graph_queries.flow_paths(spark, "").collect()
     assert {r.hops for r in got} == {1, 2, 3, 4} and {r.start for r in got} == {t[0] for t in transfers}
     assert sorted(r.txns for r in got) == sorted(trails(transfers))
+
+
+def partitions(items: list[int]) -> Iterator[list[list[int]]]:
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for i, part in enumerate(rest):
+            yield [*rest[:i], [items[0], *part], *rest[i + 1 :]]
+
+
+def modularity(frame: pd.DataFrame, parts: list[list[int]], resolution: float) -> float:
+    degree, total = {}, 2 * frame.weight.sum()
+    for s, d, w in frame.itertuples(index=False):
+        degree[s], degree[d] = degree.get(s, 0) + w, degree.get(d, 0) + w
+    own = sum(2 * frame[frame.src.isin(p) & frame.dst.isin(p)].weight.sum() / total for p in parts)
+    return own - resolution * sum((sum(degree[a] for a in p) / total) ** 2 for p in parts)
+
+
+def grouped(home: dict[int, int]) -> list[list[int]]:
+    return [[a for a in home if home[a] == c] for c in sorted(set(home.values()))]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_communities_reach_the_best_partition(seed):
+    """Louvain need not, but does on these; moves of single accounts alone do not."""
+    draw = random.Random(seed)
+    pairs = [(s, d) for s in range(7) for d in range(s + 1, 7) if draw.random() < 0.5]
+    frame = pd.DataFrame([(s, d, float(draw.randrange(1, 10))) for s, d in pairs], columns=["src", "dst", "weight"])
+    best = max(modularity(frame, p, 1.0) for p in partitions(sorted({*frame.src, *frame.dst})))
+    assert modularity(frame, grouped(rings.communities(frame, 1.0)), 1.0) == pytest.approx(best)
+
+
+def test_planted_rings(spark):
+    """40 triangles in one long chain, and apart from them three flagged accounts with three unflagged device neighbours."""
+    edges = [(3 * k + i, 3 * k + j, 6.0, "DEVICE") for k in range(40) for i, j in ((0, 1), (0, 2), (1, 2))]
+    edges += [(3 * k + 2, 3 * k + 3, 1.0, "MONEY") for k in range(39)]
+    edges += [(i, j, 6.0, "DEVICE") for i in range(200, 206) for j in range(i + 1, 206)]
+    risk = [(a, 60.0 + a % 7) for a in range(120)] + [(a, 60.0 if a < 203 else 5.0) for a in range(200, 206)]
+    found = rings.detect_rings(spark.createDataFrame(edges, "src long, dst long, weight double, kind string"), spark.createDataFrame(risk, "account long, risk double"))
+    got = {r.members: r for r in found.collect()}
+    assert set(got) == {f"{3 * k},{3 * k + 1},{3 * k + 2}" for k in range(40)} | {"200,201,202,203,204,205"}
+    mixed = got["200,201,202,203,204,205"]
+    assert (mixed.size, mixed.flagged, mixed.mean_risk) == (6, 3, 60.0)
