@@ -28,7 +28,7 @@ class RiskEngine:
     def topology(self, as_of: int | None = None, iterations: int = 40) -> DataFrame:
         """The graph's features of every account."""
         ledger = features.as_of(self.ledger, as_of)
-        transfers, money = graph.money(ledger, self.accounts), graph.money_edges(graph.money(ledger, self.accounts))
+        transfers, money = graph.money(ledger, self.accounts), graph.flow_edges(graph.money(ledger, self.accounts))
         back = money.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
         parts = [graph.degrees(ledger, self.accounts), graph.pagerank(self.accounts, money, iterations), graph.pagerank(self.accounts, back, iterations).withColumnRenamed("pagerank", "reverse_pagerank"), graph.connected_components(self.accounts, self.edges(as_of)).drop("component"), graph.clustering(self.accounts, transfers).drop("neighbours", "triangles"), graph.two_hop(self.accounts, transfers)]
         out = self.accounts.select("account")

@@ -33,6 +33,11 @@ def money_edges(transfers: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.round(F.log1p(F.col("paise") / 100) * (1 + F.log1p("n")), 3))
 
 
+def flow_edges(transfers: DataFrame) -> DataFrame:
+    """One directed edge a pair for centrality: the sum of each transfer's log1p(rupees)."""
+    return transfers.groupBy("src", "dst").agg(F.sum(F.log1p(F.col("paise") / 100)).alias("weight"))
+
+
 def shared_identifier_edges(ledger: DataFrame, accounts: DataFrame, column: str, weight: float, most: int = C.MAX_SHARED) -> DataFrame:
     """Ordered pairs of accounts on one device or address, of 2 to most accounts; larger groups are hubs and make no edge.
 

@@ -8,6 +8,7 @@ from riskgraph.operators import graph as G
 from riskgraph.plans.prelude import ACCOUNTS, LEDGER, with_
 from riskgraph.sources import ledger as S
 
+#: Steps of the SQL of the two PageRanks; the queries go on until the ranks settle, or to 40.
 STEPS = 5
 
 
@@ -45,12 +46,12 @@ def device_components(spark, sf):
 
 
 def pagerank(spark, sf):
-    return G.pagerank(S.read_accounts(spark, sf), money_edges(spark, sf), STEPS)
+    return G.pagerank(S.read_accounts(spark, sf), G.flow_edges(transfers_of(spark, sf)))
 
 
 def reverse_pagerank(spark, sf):
-    edges = money_edges(spark, sf)
-    return G.pagerank(S.read_accounts(spark, sf), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), STEPS)
+    edges = G.flow_edges(transfers_of(spark, sf))
+    return G.pagerank(S.read_accounts(spark, sf), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
 def clustering(spark, sf):

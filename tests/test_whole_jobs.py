@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -54,6 +55,29 @@ def test_flow_paths_from_every_account(spark, small_world, transfers):
     assert sorted(r.txns for r in got) == sorted(trails(transfers))
 
 
+def ranks(edges: list[tuple[int, int, int]], nodes: int = 22, steps: int = 40) -> dict[int, float]:
+    """PageRank by plain power iteration, weights summed transfer by transfer; accounts without transfers out spread theirs."""
+    out = {a: 0.0 for a in range(1, nodes + 1)}
+    for s, _, p in edges:
+        out[s] += math.log1p(p / 100)
+    r = dict.fromkeys(out, 1 / nodes)
+    for _ in range(steps):
+        after = dict.fromkeys(out, 0.15 / nodes + 0.85 * sum(r[a] for a in out if not out[a]) / nodes)
+        for s, d, p in edges:
+            after[d] += 0.85 * r[s] * math.log1p(p / 100) / out[s]
+        moved, r = sum(abs(after[a] - r[a]) for a in out), after
+        if moved < 1e-10:
+            break
+    return r
+
+
+@pytest.mark.parametrize(("query", "back"), [("pagerank", False), ("reverse_pagerank", True)])
+def test_ranks_settle(spark, small_world, transfers, query, back):
+    want = ranks([(d, s, p) if back else (s, d, p) for s, d, p, *_ in transfers])
+    got = {r.account: r.pagerank for r in getattr(graph_queries, query)(spark, "").collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+
+
 def partitions(items: list[int]) -> Iterator[list[list[int]]]:
     if not items:
         yield []
