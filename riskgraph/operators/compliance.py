@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
+from riskgraph.operators.graph import scratch, settled
+
+#: What stands for the predecessor of the first entry.
+GENESIS = "0" * 64
 
 
 def ctr_candidates(ledger: DataFrame, threshold: float = C.CTR_THRESHOLD) -> DataFrame:
@@ -20,25 +28,59 @@ def exposure(events: DataFrame, now: int, days: int = 7) -> DataFrame:
     return recent.groupBy("account").agg(F.greatest(F.sum(F.col("paise") * F.col("dir")), F.lit(0)).alias("exposure_paise"))
 
 
-def audit_chain(entries: DataFrame, genesis: str = "0" * 64) -> DataFrame:
-    """Each entry (seq, actor, event, payload) with its payload digest and the link that binds it to its predecessor.
-
-    The link covers the predecessor's own digest, not its link, so all links are computed at once.
-    """
+def bodies(entries: DataFrame) -> DataFrame:
+    """Each entry (seq, actor, event, payload) with its payload digest and the digest of all it says."""
     digest = F.sha2(F.col("payload"), 256)
     body = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "actor", "event", digest), 256)
-    rows = entries.select("seq", "actor", "event", digest.alias("payload_digest"), body.alias("body"))
-    # ranges of sequence numbers, so that the chain isn't ordered in one task; a range's first entry looks up its neighbour
-    rows = rows.withColumn("before", F.col("seq") - 1)
-    previous = rows.select((F.col("seq") + 1).alias("seq"), F.col("body").alias("prev_hash"))
-    rows = rows.join(previous, "seq", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(genesis)))
-    return rows.select("seq", "actor", "event", "payload_digest", "prev_hash", F.sha2(F.concat_ws("|", "prev_hash", "body"), 256).alias("entry_hash"))
-
-
-def verify_chain(stored: DataFrame, entries: DataFrame) -> DataFrame:
-    """seq of every stored entry that differs from what the entries give."""
-    again = audit_chain(entries).select("seq", F.col("entry_hash").alias("expected"))
-    return stored.join(again, "seq", "left").where(~F.col("entry_hash").eqNullSafe(F.col("expected"))).select("seq")
+    return entries.select("seq", "actor", "event", digest.alias("payload_digest"), body.alias("body"))
+
+
+def audit_chain(entries: DataFrame, genesis: str = GENESIS, rows_per_range: int = 1_000_000) -> DataFrame:
+    """Each entry (seq, actor, event, payload) with its payload digest, its predecessor's entry_hash and its own.
+
+    An entry_hash covers the one before it, so it commits to the whole history, and seq may have gaps. Digests are made side by
+    side; the hashes must follow one another, range of seq by range, each begun with the last hash of the range before.
+    """
+    spark = entries.sparkSession
+    rows = settled(bodies(entries))
+    n = max(1, -(-rows.count() // rows_per_range))
+    ranged = settled(rows.repartitionByRange(n, "seq").withColumn("part", F.spark_partition_id()))
+    path, head, columns = scratch(spark), genesis, ["seq", "actor", "event", "payload_digest", "prev_hash", "entry_hash"]
+    schema = entries.select("seq", "actor", "event", *(F.lit("").alias(c) for c in columns[3:])).schema
+
+    def chain(begin: str):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last = begin
+            for frame in frames:
+                hashes = [last]
+                for body in frame["body"]:
+                    hashes.append(hashlib.sha256(f"{hashes[-1]}|{body}".encode()).hexdigest())
+                last = hashes[-1]
+                yield frame.assign(prev_hash=hashes[:-1], entry_hash=hashes[1:])[columns]
+
+        return run
+
+    for part in range(n):
+        ordered = ranged.where(F.col("part") == part).repartition(1).sortWithinPartitions("seq", "body")
+        ordered.mapInPandas(chain(head), schema).write.parquet(f"{path}/{part}")
+        done = spark.read.schema(schema).parquet(f"{path}/{part}")
+        # the end of a range is the hash that no entry of it has for its predecessor
+        end = done.select("entry_hash").join(done.select(F.col("prev_hash").alias("entry_hash")), "entry_hash", "left_anti").first()
+        head = end[0] if end else head
+    return spark.read.schema(schema).parquet(*(f"{path}/{part}" for part in range(n)))
+
+
+def verify_chain(stored: DataFrame, entries: DataFrame, genesis: str = GENESIS) -> DataFrame:
+    """seq of every entry that isn't stored as the entries have it, that isn't stored or known at all, or whose predecessor
+    is one of these, isn't there, isn't earlier or has another successor. All are looked at side by side."""
+    own = F.sha2(F.concat_ws("|", "prev_hash", "body"), 256)
+    rows = stored.select("seq", "prev_hash", "entry_hash").join(bodies(entries).select("seq", "body"), "seq", "full")
+    rows = rows.withColumn("holds", F.coalesce(own == F.col("entry_hash"), F.lit(False)))
+    before = rows.where("entry_hash IS NOT NULL").select(F.col("entry_hash").alias("prev_hash"), F.col("seq").alias("seq_before"), F.col("holds").alias("holds_before"))
+    forked = rows.groupBy("prev_hash").agg((F.count("*") > 1).alias("forked"))
+    linked = (F.col("prev_hash") == genesis) | (F.col("holds_before") & (F.col("seq_before") < F.col("seq")))
+    rows = rows.join(before, "prev_hash", "left").join(forked, "prev_hash", "left")
+    return rows.where(~(F.col("holds") & F.coalesce(linked, F.lit(False)) & ~F.coalesce("forked", F.lit(False)))).select("seq").distinct()
 
 
 def overview(scores: DataFrame) -> DataFrame:

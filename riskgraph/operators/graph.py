@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{folder}/riskgraph-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back, so that iterations don't stack their plans."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/riskgraph-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def money(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
