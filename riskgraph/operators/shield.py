@@ -7,6 +7,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +17,12 @@ from pyspark.sql import functions as F
 PERMISSIONS = {"READ_SMS": 7, "RECEIVE_SMS": 8, "SEND_SMS": 6, "SYSTEM_ALERT_WINDOW": 8, "BIND_ACCESSIBILITY_SERVICE": 10, "REQUEST_INSTALL_PACKAGES": 6, "READ_CONTACTS": 3, "READ_PHONE_STATE": 3, "RECORD_AUDIO": 5, "CAMERA": 3, "ACCESS_FINE_LOCATION": 2, "WRITE_EXTERNAL_STORAGE": 2, "FOREGROUND_SERVICE": 1, "RECEIVE_BOOT_COMPLETED": 3, "DISABLE_KEYGUARD": 4, "GET_ACCOUNTS": 3, "QUERY_ALL_PACKAGES": 4, "BIND_DEVICE_ADMIN": 7, "CALL_PHONE": 3, "INTERNET": 0}
 TOXIC = ((("RECEIVE_SMS", "SYSTEM_ALERT_WINDOW"), 14), (("BIND_ACCESSIBILITY_SERVICE", "QUERY_ALL_PACKAGES"), 12), (("BIND_DEVICE_ADMIN", "RECEIVE_SMS"), 10), (("REQUEST_INSTALL_PACKAGES", "BIND_ACCESSIBILITY_SERVICE"), 10))
 PACKERS = (b"libjiagu", b"libDexHelper", b"libsecexe", b"libapp_shell", b"libDexGuard", b"stub/StubApp")
-MAX_DEX = 48 << 20
+#: Bytes of a .dex scanned at once, and those of the next window read along with them; no indicator is as long.
+WINDOW, OVERLAP = 8 << 20, 1 << 10
+PATTERNS = {
+    "vpas": re.compile(r"\b[a-zA-Z0-9._-]{3,64}@[a-zA-Z]{2,32}\b"), "urls": re.compile(r"https?://[a-zA-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]{4,200}"),
+    "ips": re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+}
 REPORT = "path string, package string, permissions array<string>, vpas array<string>, urls array<string>, ips array<string>, packed boolean, error string"
 
 
@@ -44,25 +50,52 @@ def string_pool(data: bytes) -> list[str]:
     return out
 
 
+def mine(dex: IO[bytes], found: dict[str, set[str]], window: int = WINDOW) -> bool:
+    """Adds the indicators of one .dex of any size to found, and says whether it holds a packer's mark.
+
+    A window is scanned with OVERLAP bytes on; what begins in those is left to the next window, which starts where the last
+    match of the pattern ended, as one scan of the whole would.
+    """
+    held, packed, at = b"", False, dict.fromkeys(found, 0)
+    while True:
+        more = dex.read(window + OVERLAP)
+        data = held + more
+        text, last = data.decode("latin-1"), not more
+        cut = len(data) if last else max(len(data) - OVERLAP, 0)
+        packed |= any(p in data for p in PACKERS)
+        for kind, pattern in PATTERNS.items():
+            for m in pattern.finditer(text, at[kind]):
+                if m.start() >= cut:
+                    break
+                found[kind].add(m[0])
+                at[kind] = m.end()
+        if last:
+            return packed
+        # OVERLAP bytes before the cut stay, so that a pattern sees what stands before its match
+        keep = max(cut - OVERLAP, 0)
+        held = data[keep:]
+        at = {kind: max(end, cut) - keep for kind, end in at.items()}
+
+
 def triage_bytes(content: bytes) -> dict:
     """Package, permissions and indicators of one archive; an unreadable one says why."""
     out = {"package": None, "permissions": [], "vpas": [], "urls": [], "ips": [], "packed": False, "error": None}
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             strings = string_pool(z.read("AndroidManifest.xml")) if "AndroidManifest.xml" in z.namelist() else []
-            blob, names = b"", "\n".join(z.namelist()).encode()
+            names = "\n".join(z.namelist()).encode()
+            found, packed = {"vpas": set(), "urls": set(), "ips": set()}, any(p in names for p in PACKERS)
             for info in z.infolist():
-                if info.filename.endswith(".dex") and len(blob) + info.file_size <= MAX_DEX:
-                    blob += z.read(info)
+                if info.filename.endswith(".dex"):
+                    with z.open(info) as dex:
+                        packed |= mine(dex, found)
     except (zipfile.BadZipFile, OSError, ValueError) as e:
         return out | {"error": str(e)}
-    text = blob.decode("latin-1")
     reverse = sorted((s for s in strings if re.fullmatch(r"[a-z][a-z0-9_]*(\.[a-z0-9_]+){1,5}", s) and not s.startswith("android.")), key=lambda s: (len(s), s))
     octets = lambda ip: [int(x) for x in ip.split(".")]
     return out | {
         "package": reverse[0] if reverse else None, "permissions": sorted({s.rsplit(".", 1)[1] for s in strings if s.startswith("android.permission.")}),
-        "vpas": sorted(set(re.findall(r"\b[a-zA-Z0-9._-]{3,64}@[a-zA-Z]{2,32}\b", text))), "urls": sorted(set(re.findall(r"https?://[a-zA-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]{4,200}", text))),
-        "ips": sorted(x for x in set(re.findall(r"\b(?:\d{1,3}\.){3}\d{1,3}\b", text)) if max(octets(x)) <= 255 and octets(x)[0] not in (0, 127, 255)), "packed": any(p in names or p in blob for p in PACKERS),
+        "vpas": sorted(found["vpas"]), "urls": sorted(found["urls"]), "ips": sorted(x for x in found["ips"] if max(octets(x)) <= 255 and octets(x)[0] not in (0, 127, 255)), "packed": packed,
     }
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 import random
+import re
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
 import pytest
 
-from riskgraph.operators import compliance, rings
+from riskgraph.operators import compliance, rings, shield
 from riskgraph.plans import graph_queries
 
 ACCOUNTS = "account long, kyc string, vintage_days long, age long, merchant boolean"
@@ -137,3 +140,24 @@ def test_audit_chain_over_gaps(spark, rows_per_range):
     assert {r.seq: (r.prev_hash, r.entry_hash) for r in stored.collect()} == want
     assert compliance.verify_chain(stored, entries).count() == 0
     assert {r.seq for r in compliance.verify_chain(stored.where("seq <> 9"), entries).collect()} == {9, 20}
+
+
+def test_large_dex_is_scanned():
+    """Two files of which the first alone is over 48 MB."""
+    filler = b"\0" * (49 << 20)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        z.writestr("classes.dex", b"early@ybl " + filler + b" late@ybl http://evil.example/c2 8.8.4.4 libjiagu")
+        z.writestr("classes2.dex", b"second@ybl")
+    got = shield.triage_bytes(buffer.getvalue())
+    assert (got["vpas"], got["urls"], got["ips"], got["packed"]) == (["early@ybl", "late@ybl", "second@ybl"], ["http://evil.example/c2"], ["8.8.4.4"], True)
+
+
+@pytest.mark.parametrize("window", [1, 700, 1500, 5000])
+def test_windows_find_what_one_scan_finds(window):
+    draw = random.Random(window)
+    said = ["mule.{}@okbank", "http://h{}.example/a?b=" + "c" * 190, "10.{}.3.4", "x" * 90 + "{}@ybl", "\0", " ", "-", "@", "é", "{}.1.2.3.4.5"]
+    data = "".join(draw.choice(said).format(draw.randrange(256)) + draw.choice(["", " ", "\0"]) for _ in range(600)).encode("latin-1")
+    found = {kind: set() for kind in shield.PATTERNS}
+    shield.mine(io.BytesIO(data), found, window)
+    assert found == {kind: set(re.findall(p, data.decode("latin-1"))) for kind, p in shield.PATTERNS.items()}
