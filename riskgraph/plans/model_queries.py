@@ -73,15 +73,17 @@ def fused_scores(spark, sf):
     return models.fit_fusion(scores)(scores)
 
 
-FEATURES = ["in_count", "out_count", "passthrough", "payers", "payees", "cashout"]
+#: Boosted trees of a production fit, as the reference has them.
+TREES = 150
 
 
 def seed_risk(spark, sf):
-    ledger, accounts = S.read_ledger(spark, sf), S.read_accounts(spark, sf)
-    events = O.event_view(ledger, accounts)
-    rows = O.for_all(accounts, O.flow_totals(events)).join(O.for_all(accounts, O.counterparties(events)), "account")
+    rows = O.behaviour(S.read_ledger(spark, sf), S.read_accounts(spark, sf))
+    rows = rows.withColumns({f"kyc_{k.lower()}": F.col("kyc") == k for k in ("MIN", "VIDEO")}).drop("kyc")
+    features = [c for c in rows.columns if c != "account"]
+    rows = rows.select("account", *(F.col(c).cast("double").alias(c) for c in features))
     rows = models.folds(rows.withColumn("label", ((F.col("in_count") > 0) & (F.col("account") % 3 == 0)).cast("int")))
-    return models.cross_fitted(rows, FEATURES, trees=5)
+    return models.cross_fitted(rows, features, trees=TREES)
 
 
 def ring_detection(spark, sf):

@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 
 from riskgraph.operators import compliance, rings, shield
-from riskgraph.plans import graph_queries
+from riskgraph.plans import graph_queries, model_queries
 
 ACCOUNTS = "account long, kyc string, vintage_days long, age long, merchant boolean"
 TRANSFERS = "src long, dst long, paise long, ts_s long, txn_id string"
@@ -161,3 +161,22 @@ def test_windows_find_what_one_scan_finds(window):
     found = {kind: set() for kind in shield.PATTERNS}
     shield.mine(io.BytesIO(data), found, window)
     assert found == {kind: set(re.findall(p, data.decode("latin-1"))) for kind, p in shield.PATTERNS.items()}
+
+
+def test_seed_risk_fits_the_production_model(spark, monkeypatch):
+    """Trees and features as registered; the fit itself is tried with one tree."""
+    accounts = spark.createDataFrame([(i, ("MIN", "FULL", "VIDEO")[i % 3], 10 * i, 30, i % 2 == 0) for i in range(60)], ACCOUNTS)
+    rows = [(f"t{i}", 1_700_000_000 + 977 * i, i % 60, i * 7 % 60, 100 * i + 1, "UPI", None, None, 5) for i in range(400)]
+    ledger = spark.createDataFrame(rows, "txn_id string, ts_s long, src long, dst long, paise long, channel string, device string, ip string, ben_age long")
+    monkeypatch.setattr(model_queries.S, "read_accounts", lambda *_: accounts)
+    monkeypatch.setattr(model_queries.S, "read_ledger", lambda *_: ledger)
+    asked, fit = {}, model_queries.models.cross_fitted
+
+    def cross_fitted(rows, features, trees):
+        asked.update(features=features, trees=trees)
+        return fit(rows, features, trees=1)
+
+    monkeypatch.setattr(model_queries.models, "cross_fitted", cross_fitted)
+    assert model_queries.seed_risk(spark, "").count() == 60
+    behaviour = set(model_queries.O.behaviour(ledger, accounts).columns) - {"account", "kyc"}
+    assert asked["trees"] == 150 and set(asked["features"]) == behaviour | {"kyc_min", "kyc_video"}
