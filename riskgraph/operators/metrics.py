@@ -1,7 +1,7 @@
 """Ranking and calibration metrics over (id, label, score), from sums by distinct score.
 
-Running sums over all scores would put all rows into one task, so rows are first summed by score, and only the scores, which
-rounding to the given digits bounds, are ordered.
+Running sums over all scores would put all rows into one task, so rows are first summed by score, and the scores, unrounded,
+are ordered in ranges: sums run inside each range, and what the ranges above it hold is added.
 """
 
 from __future__ import annotations
@@ -9,17 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Scores are compared at this many digits, so there are at most 1 + 10 ** DIGITS of them.
-DIGITS = 6
+from riskgraph.operators.graph import settled
 
 
 def by_score(scores: DataFrame) -> DataFrame:
-    """score, n, pos and the running tp and fp from the highest score down; all, p and q: totals."""
-    sums = scores.groupBy(F.round("score", DIGITS).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """score, n, pos and the running tp and fp from the highest score down; p and q: totals."""
+    sums = scores.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, as a second run of the same plan may cut the ranges elsewhere
+    sums = settled(sums.repartitionByRange(parts, F.col("score").desc()).withColumn("part", F.spark_partition_id()))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    sums = sums.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(down))
-    return sums.withColumn("p", F.sum("pos").over(every)).withColumn("q", F.sum(F.col("n") - F.col("pos")).over(every))
+    held = sums.groupBy("part").agg(F.sum("pos").alias("hits"), F.sum(F.col("n") - F.col("pos")).alias("misses"))
+    held = held.select("part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("hits", "misses")), F.sum("hits").over(every).alias("p"), F.sum("misses").over(every).alias("q"))
+    down = Window.partitionBy("part").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tp, fp = F.sum("pos").over(down), F.sum(F.col("n") - F.col("pos")).over(down)
+    rows = sums.withColumn("tp", tp).withColumn("fp", fp).join(F.broadcast(held), "part")
+    return rows.select("score", "n", "pos", (F.col("tp") + F.col("hits_above")).alias("tp"), (F.col("fp") + F.col("misses_above")).alias("fp"), "p", "q")
 
 
 def roc_auc(scores: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pytest
 
-from riskgraph.operators import compliance, rings, shield
+from riskgraph.operators import compliance, metrics, rings, shield
 from riskgraph.plans import graph_queries, model_queries
 
 ACCOUNTS = "account long, kyc string, vintage_days long, age long, merchant boolean"
@@ -180,3 +180,24 @@ def test_seed_risk_fits_the_production_model(spark, monkeypatch):
     assert model_queries.seed_risk(spark, "").count() == 60
     behaviour = set(model_queries.O.behaviour(ledger, accounts).columns) - {"account", "kyc"}
     assert asked["trees"] == 150 and set(asked["features"]) == behaviour | {"kyc_min", "kyc_video"}
+
+
+def test_metrics_of_close_scores(spark):
+    """400 scores that six digits would merge to a few, with ties among them."""
+    draw = random.Random(3)
+    rows = [(i, int(draw.random() < 0.3), 0.5 + draw.randrange(300) * 1e-8) for i in range(400)]
+    scores = spark.createDataFrame(rows, "id long, label int, score double").cache()
+    hits, misses = [s for _, y, s in rows if y], [s for _, y, s in rows if not y]
+    auc = sum((h > m) + (h == m) / 2 for h in hits for m in misses) / (len(hits) * len(misses))
+    steps = []
+    for t in sorted({s for *_, s in rows}, reverse=True):
+        tp, fp = sum(h >= t for h in hits), sum(m >= t for m in misses)
+        steps.append((t, tp, fp, hits.count(t)))
+    ap = sum(new / len(hits) * tp / (tp + fp) for _, tp, fp, new in steps)
+    f1, at = max((round(2 * tp / (tp + fp + len(hits)), 9), t) for t, tp, fp, _ in steps)
+    first = next(s for s in steps if s[1] / len(hits) >= 0.8)
+    assert metrics.roc_auc(scores).first()[0] == pytest.approx(auc, abs=1e-9)
+    assert metrics.average_precision(scores).first()[0] == pytest.approx(ap, abs=1e-9)
+    assert tuple(metrics.best_f1(scores).first()) == (at, f1)
+    got = metrics.at_recall(scores, 0.8).first()
+    assert (got.threshold, got.alerts) == (first[0], first[1] + first[2])
