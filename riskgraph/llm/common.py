@@ -21,11 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*names: str) -> Column:
+    """128 bits that tell rows apart by the named columns; a null counts as what it is."""
+    nulls = [F.col(n).isNull() for n in names]
+    return F.struct(*(F.xxhash64(F.lit(k), *nulls, *names).alias(f"key{k}") for k in (1, 2)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of this machine only where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; where none is set a folder of this machine, if Spark runs in this process alone."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("riskgraph.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="riskgraph-")
         spark.conf.set("riskgraph.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,8 +2,8 @@
 
 A token is the fingerprint of a shingle, so tokens have a global order of their own; tokens of many documents are moved
 behind all others in it, which any global order may do. Two sets of Jaccard similarity t share a token among the first
-|x| - ceil(t |x|) + 1 of each, under every order. The first order finds candidates; two more orders, over other
-fingerprints, must agree before any set is looked at whole.
+|x| - ceil(t |x|) + 1 of each, under every order. The first order finds candidates, by families (see jaccard_components);
+two more orders, over other fingerprints, must agree before two sets are compared.
 """
 
 from __future__ import annotations
@@ -19,22 +19,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import components, cut, drop_table, pick, shuffle_width
+from riskgraph.llm.common import components, cut, drop_table, pick, row_key, shuffle_width
 
 #: Documents from which a token is common, and goes last in the first order.
 COMMON = 4
 #: Tokens below this come first in the first order, and of these alone the documents are counted.
 COUNTED = np.uint64(1 << 63)
 #: Tokens that a task holds before it hands them on.
-HELD = 1_000_000
+HELD = 500_000
 #: Bits a member of the filters that are broadcast, and the most there are, 16 MB. The filter of common tokens may hold some
 #: more tokens, as any order is right that is the same everywhere, and if there are too many for it only the commoner ones go
-#: last. The filter of needed sets, too full, lets more sets through than are needed, never fewer.
+#: last. The filter of wanted texts, too full, lets more texts through than are wanted, never fewer.
 FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27
-#: Bits of a token that verification compares. Tokens of two sets of n words that differ agree in them by n * n / 2**48.
-COMPARED = 48
-#: Classes of a block; a task of verification holds the sets of two blocks.
-BLOCK = 4000
+#: Members and bytes of a block of a large family; a meeting holds two blocks. Rows of small meetings that share a task.
+BLOCK, BLOCK_BYTES, TASK_ROWS = 4096, 8 << 20, 8192
+#: Pairs of parity maps compared at once.
+MATRIX = 1 << 20
+KEY = np.dtype("V16")
 #: Changes of a token that make the other orders.
 ORDERS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93))
 
@@ -65,26 +66,25 @@ def prefix_size(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """A signed 64-bit key of a set; documents of one key are one class, of which the join sees one member."""
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else 0
+def set_key(tokens: np.ndarray) -> bytes:
+    """A 128-bit key of a set; documents of one key are one class, of which the join sees one member."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def other_prefixes(tokens: np.ndarray, percent: int) -> list[bytes]:
+def other_prefixes(tokens: np.ndarray, percent: int) -> list[np.ndarray]:
     """Under each other order the high halves of the prefix, ascending; a half can only admit a pair too many."""
     p = prefix_size(len(tokens), percent)
     out = []
     for change in ORDERS:
         order = K.mix(tokens ^ change)
         first = np.partition(order, p - 1)[:p] if p < len(order) else order
-        out.append(np.sort((first >> np.uint64(32)).astype(np.uint32)).tobytes())
+        out.append(np.sort((first >> np.uint64(32)).astype(np.uint32)))
     return out
 
 
-def may_link(a: bytes, b: bytes, percent: int) -> bool:
+def may_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two prefixes under one order allow their sets to be similar: they share a token, and up to where the first of
     them ends, where both show all they have, no more tokens differ than similar sets differ in altogether."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     both = np.intersect1d(x, y)
     if not len(both):
         return False
@@ -94,17 +94,58 @@ def may_link(a: bytes, b: bytes, percent: int) -> bool:
     return differ * (100 + percent) <= (len(x) + len(y)) * 100
 
 
-def pack_set(tokens: np.ndarray) -> bytes:
-    """The low bits of a set's tokens, ascending, as packed differences."""
-    low = np.sort(tokens & np.uint64((1 << COMPARED) - 1))
-    return np.diff(low, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T[: COMPARED // 8].tobytes()
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the tokens, set if an odd number of them has it; as many bits as tokens or more, 256 at least.
 
-
-def unpack_set(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(COMPARED // 8, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, : COMPARED // 8] = planes.T
-    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+    Two maps differ in no more bits than their sets in tokens, so maps too far apart rule a pair out, exactly.
+    """
+    bits = max(256, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """The map as it would be with fewer bits."""
+    while len(parity) > words:
+        half = len(parity) // 2
+        parity = parity[:half] ^ parity[half:]
+    return parity
+
+
+def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sets (sizes ascend), likeliest first in each lot, whose sizes and parity maps allow their similarity, and how far
+    the maps are apart; with block, pairs across blocks only."""
+    widths = np.array([len(m) for m in maps])
+    for words in np.unique(widths).tolist():
+        low, high = np.searchsorted(widths, words), np.searchsorted(widths, words, "right")
+        reach = int(np.searchsorted(sizes, sizes[high - 1] * 100 // percent, "right"))
+        x = np.stack([folded(m, words) for m in maps[low:reach]])
+        begin = 0
+        while begin < high - low:
+            end = min(high - low, begin + max(1, MATRIX // (reach - low - begin)))
+            far = int(np.searchsorted(sizes, sizes[low + end - 1] * 100 // percent, "right")) - low
+            apart = np.zeros((end - begin, far - begin), np.uint32)
+            for k in range(words):
+                apart += np.bitwise_count(x[begin:end, k, None] ^ x[None, begin:far, k])
+            one, two = sizes[low + begin : low + end, None], sizes[None, low + begin : low + far]
+            near = (apart * (100 + percent) <= (100 - percent) * (one + two)) & (one * 100 >= two * percent)
+            near &= np.arange(begin, end)[:, None] < np.arange(begin, far)[None]
+            if block is not None:
+                near &= block[low + begin : low + end, None] != block[None, low + begin : low + far]
+            p, q = np.nonzero(near)
+            first = np.argsort(apart[p, q], kind="stable")
+            yield p[first] + low + begin, q[first] + low + begin, apart[p, q][first]
+            begin = end
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets are similar."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def binary(*names: str) -> list[T.StructField]:
@@ -115,6 +156,16 @@ def longs(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
+def key_array(keys: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit words as an Arrow column of 16 bytes each."""
+    data = np.ascontiguousarray(keys)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * len(data) + 1, 16, np.int32)), pa.py_buffer(data)])
+
+
+def key_words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+
+
 def parted(parts: int, by: np.ndarray, ascending: np.ndarray, *rest: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Rows by part, in each of them sorted by the first column, as packed blobs."""
     part = (by % np.uint64(parts)).astype(np.int32)
@@ -191,21 +242,73 @@ def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
     return words
 
 
+def met(rows: DataFrame, size: str) -> DataFrame:
+    """Members of families dealt into meetings, of which each family has one, or if it is large one for every two of its blocks.
+
+    rows: family, node and others; size: the column that says how many bytes a member takes. A meeting holds two blocks of
+    BLOCK members and BLOCK_BYTES at most, about. Adds block, i and j, and task, which bundles small meetings.
+    """
+    load = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    load = load.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = rows.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    tasks = max(1, -(-total[0] // TASK_ROWS), -(-total[1] // BLOCK_BYTES))
+    dealt = dealt.withColumn("meeting", F.explode(others)).select("*", "meeting.i", "meeting.j").drop("meeting", "blocks")
+    return dealt.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks)))
+
+
+def meetings(table: pa.Table, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The rows of each meeting in a task's table, by size, and their blocks if only members of two blocks are to meet."""
+    family, (i, j, block) = key_words(table["family"]), (table[c].to_numpy() for c in ("i", "j", "block"))
+    order = np.lexsort((sizes, j, i, family[:, 1], family[:, 0]))
+    new = np.zeros(len(order), bool)
+    for c in (i, j, family[:, 0], family[:, 1]):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    for rows in np.split(order, np.flatnonzero(new)):
+        if len(rows) > 1:
+            yield rows, block[rows] if i[rows[0]] != j[rows[0]] else None
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df.
 
     A row's set: the distinct shingles of n words of its text ([^\\x20\\x09-\\x0D]+, A-Z lower-cased), all its words as one
     shingle if they are fewer; no words or a null text: the empty set, which links with nothing. Rows link when
     100 * intersection >= percent * union. component_id: the least doc_id reachable by links, its own included; it is null
-    only if all doc_ids reached are. Repeated rows stay, linked with each other; other columns are left out.
+    only if all doc_ids reached are. Repeated rows stay, linked with each other; other columns are left out. An empty table
+    gives an empty one.
 
-    Equal sets are one class and are joined once. No pairs within a group are emitted: every class first meets the one class
-    that shares most with most others in its groups of one prefix token; only members of a group that verification leaves
-    in different components meet each other then.
+    Equal sets are one class and are joined once. Classes that share a token of the first order's prefix are a group, and its
+    least class names the family that all of them belong to, so the groups of a document's copies are few families. Within a
+    family all members meet, first by size and parity map alone, then those with someone left to link with by the prefixes of
+    the other orders and by their whole sets. No pair leaves a task but the links of a spanning forest.
     """
     source = pick(df, doc_id, text).toDF("doc_id", "text")
     spark, parts = df.sparkSession, shuffle_width(source)
     texts = source.select("text")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents with their classes, and each class of the task with its parity map and the print of a text of it."""
+        seen = set()
+        for batch in batches:
+            prints = batch.column(2).to_numpy()
+            for first, last, data, offsets in K.pieces(batch.column(1)):
+                sets = shingle_sets(data, offsets, n)
+                keys = [set_key(tokens) if len(tokens) else None for tokens in sets]
+                lengths = pa.array([len(tokens) for tokens in sets], pa.int64())
+                none = pa.nulls(len(sets))
+                ids = batch.column(0).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([ids, lengths, pa.array(keys, pa.binary()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([True] * len(sets))], names=schema.names)
+                new = [i for i, key in enumerate(keys) if key and not (key in seen or seen.add(key))]
+                # rows of classes carry some id, as a struct can't be null in all Arrow readers
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(new, pa.int32())), lengths.take(pa.array(new, pa.int32())), pa.array([keys[i] for i in new], pa.binary()), pa.array([parity_map(sets[i]).tobytes() for i in new], pa.binary()), pa.array(prints[first:last][new]), pa.array([False] * len(new))], names=schema.names)
+
+    schema = T.StructType([source.schema["doc_id"], *longs("n_shingles"), *binary("class", "parity"), *longs("print"), T.StructField("is_doc", T.BooleanType())])
+    described = cut(source.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(describe, schema), "is_doc")
+    docs = described.where("is_doc").select("doc_id", "n_shingles", "class")
+    classes = described.where("not is_doc").groupBy(F.col("class").alias("node")).agg(F.max(F.struct("n_shingles", "parity", "print")).alias("x"))
+    classes = classes.select("node", F.col("x.n_shingles").alias("size"), "x.parity", "x.print")
     common = spark.sparkContext.broadcast(common_tokens(texts, n, parts))
 
     def first_order(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -222,26 +325,24 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield np.concatenate([out, tokens[mine][: p - len(out)]]) if len(out) < p else out
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The (token, class, size) of all prefixes by part; a class that a task meets again adds nothing."""
+        """The (token, class) of all prefixes by part; a class that a task meets again adds nothing."""
         held: list[tuple] = []
-        size, classes = 0, set()
+        size, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
-            token = np.concatenate([t for t, _, _ in held])
-            many = [len(t) for t, _, _ in held]
-            key = np.repeat(np.array([k for _, k, _ in held], np.int64), many)
-            length = np.repeat(np.array([m for _, _, m in held], np.uint32), many)
-            rows = list(parted(parts, token, token, key, length))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), *(pa.array([b[i] for _, b in rows], pa.binary()) for i in range(3))], names=["part", "tokens", "keys", "sizes"])
+            token = np.concatenate([t for t, _ in held])
+            keys = np.frombuffer(b"".join(k for _, k in held), np.uint64).reshape(-1, 2)
+            rows = list(parted(parts, token, token, np.repeat(keys, [len(t) for t, _ in held], 0)))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), *(pa.array([b[i] for _, b in rows], pa.binary()) for i in range(2))], names=["part", "tokens", "keys"])
 
         for batch in batches:
             for _, _, data, offsets in K.pieces(batch.column(0)):
                 sets = shingle_sets(data, offsets, n)
                 for tokens, prefix in zip(sets, first_order(sets), strict=True):
                     key = set_key(tokens)
-                    if len(tokens) and key not in classes:
-                        classes.add(key)
-                        held.append((prefix, key, len(tokens)))
+                    if len(tokens) and key not in seen:
+                        seen.add(key)
+                        held.append((prefix, key))
                         size += len(prefix)
                 if size >= HELD:
                     yield flush()
@@ -249,119 +350,102 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         if size:
             yield flush()
 
-    def groups(frame: pd.DataFrame) -> pd.DataFrame:
-        """The members of each group of one token that has more than one, and how many it has."""
-        token = np.concatenate([K.unpack_sorted(b) for b in frame["tokens"]])
-        key = np.concatenate([K.unpack(b, np.int64) for b in frame["keys"]])
-        size = np.concatenate([K.unpack(b, np.uint32) for b in frame["sizes"]]).astype(np.int64)
-        order = np.lexsort((key, token))
-        token, key, size = token[order], key[order], size[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))
-        token, key, size = token[new], key[new], size[new]
+    pair = T.StructType(binary("family", "node"))
+
+    def families(table: pa.Table) -> pa.Table:
+        """The members of the groups of a part's tokens, under the least of each group; groups of one member are left out."""
+        token = np.concatenate([K.unpack_sorted(b) for b in table["tokens"].to_pylist()])
+        key = np.concatenate([K.unpack(b, KEY).view(np.uint64).reshape(-1, 2) for b in table["keys"].to_pylist()])
+        order = np.lexsort((key[:, 1], key[:, 0], token))
+        token, key = token[order], key[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]).any(1))
+        token, key = token[new], key[new]
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         many = np.diff(np.append(head, len(token)))
-        group = np.repeat(np.arange(len(head)), many)
-        member = many[group] > 1
-        at = np.flatnonzero(member)
-        return pd.DataFrame({"token": K.signed(token[at]), "node": key[at], "size": size[at], "many": many[group[at]]})
-
-    bundles = texts.mapInArrow(prefixes, T.StructType([*longs("part"), *binary("tokens", "keys", "sizes")]))
-    members = cut(bundles.groupBy("part").applyInPandas(groups, T.StructType(longs("token", "node", "size", "many"))))
-    # what others were copied from shares most of its tokens with most others: the centre that a member meets first
-    weight = members.groupBy("node").agg((F.sum("many") / F.max("size")).alias("weight"))
-    weighed = members.join(weight, "node")
-    centre = weighed.groupBy("token").agg(F.max(F.struct("weight", "node", "size")).alias("c"))
-    near = F.least("size", "c.size") * 100 >= F.greatest("size", "c.size") * percent
-    tried = weighed.join(centre, "token").where((F.col("node") != F.col("c.node")) & near)
-    tried = cut(tried.groupBy(F.col("node").alias("b")).agg(F.max("c").alias("c")).select(F.col("c.node").alias("a"), "b"))
-
-    # all documents once more: their classes, and the sets of those classes that are in some group
-    needed = members.select("node").distinct()
-    may_need = spark.sparkContext.broadcast(filter_of(needed.withColumnRenamed("node", "member")))
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = set()
+        both = np.hstack([np.repeat(key[head], many, 0), key])[np.repeat(many, many) > 1]
+        both = both[np.lexsort(both.T)]
+        both = both[np.append(True, (both[1:] != both[:-1]).any(1))] if len(both) else both
+        return pa.Table.from_arrays([key_array(both[:, :2]), key_array(both[:, 2:])], names=pair.names)
+
+    bundles = texts.mapInArrow(prefixes, T.StructType([*longs("part"), *binary("tokens", "keys")]))
+    members = bundles.groupBy("part").applyInArrow(families, pair).distinct()
+    members = cut(members.join(classes, "node").select("family", "node", "size", "parity"))
+
+    def close(table: pa.Table) -> pa.Table:
+        """The members that some other of their meeting may link with, as far as sizes and parity maps tell."""
+        sizes = table["size"].to_numpy()
+        maps = [np.frombuffer(b, np.uint64) for b in table["parity"].to_pylist()]
+        some = np.zeros(len(sizes), bool)
+        for rows, block in meetings(table, sizes):
+            for p, q, _ in near_pairs(sizes[rows], [maps[k] for k in rows.tolist()], percent, block):
+                some[rows[p]] = some[rows[q]] = True
+        return table.select(pair.names).filter(pa.array(some))
+
+    left = cut(met(members, F.length("parity")).groupBy("task").applyInArrow(close, pair).distinct())
+    drop_table(members)
+    needed = left.select("node").distinct().join(classes, "node").select(F.col("print").alias("member"))
+    wanted = spark.sparkContext.broadcast(filter_of(needed))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sets of the texts whose print is wanted; of any other the text is not even split."""
+        seen = set()
         for batch in batches:
-            lengths, keys, rows = [], [], []
-            for _, _, data, offsets in K.pieces(batch.column(1)):
-                sets = shingle_sets(data, offsets, n)
-                mine = [set_key(tokens) for tokens in sets]
-                lengths += map(len, sets)
-                keys += mine
-                for tokens, key, some in zip(sets, mine, in_filter(may_need.value, np.array(mine, np.int64).view(np.uint64)).tolist(), strict=True):
-                    if some and len(tokens) and key not in classes:
-                        classes.add(key)
-                        rows.append((key, len(tokens), *other_prefixes(tokens, percent), pack_set(tokens)))
-            none = pa.nulls(len(keys), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(keys, pa.int64()), none, none, none, pa.array([True] * len(keys))], names=schema.names)
-            # rows of sets carry some id, as a struct can't be null in all Arrow readers
-            ids = batch.column(0).take(pa.array([0] * len(rows), pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (2, 3, 4)), pa.array([False] * len(rows))], names=schema.names)
-
-    schema = T.StructType([source.schema["doc_id"], *longs("n_shingles", "class"), *binary("one", "two", "tokens"), T.StructField("is_doc", T.BooleanType())])
-    described = cut(source.mapInArrow(describe, schema), "is_doc")
-    docs = described.where("is_doc").select("doc_id", "n_shingles", "class")
-    sets = described.where("not is_doc").select("class", "one", "two", "tokens")
-
-    def other_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, *prefixes = (c.to_pylist() for c in batch.columns)
-            some = [i for i, (p, q, r, s) in enumerate(zip(*prefixes, strict=True)) if may_link(p, q, percent) and may_link(r, s, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in some], pa.int64()) for x in (a, b)], names=["a", "b"])
-
-    def verify(held: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        """Links among the pairs of one block of classes with another; held has each class's set once."""
-        known = {node: unpack_set(blob) for node, blob in zip(held["node"], held["tokens"], strict=True)}
-        links = []
-        for p, q in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
-            x, y = known[p], known[q]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                links.append((p, q))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    pair = T.StructType(longs("a", "b"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link: filtered by the other orders' prefixes, then verified block by block, so that a set
-        goes to each block it has a pair in, not to each pair."""
-        once = sets.select("class", "one", "two").dropDuplicates(["class"])
-        for side in ("b", "a"):
-            pairs = pairs.join(once.select(F.col("class").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("one", "two"))), side)
-        pairs = cut(pairs.select("a", "b", "a_one", "b_one", "a_two", "b_two").mapInArrow(other_orders, pair))
-        blocks = max(1, -(-pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().count() // BLOCK))
-        pairs = pairs.select("a", "b", *(F.pmod(F.xxhash64(side), F.lit(blocks)).alias(f"block_{side}") for side in ("a", "b")))
-        places = ("block_a", "block_b")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), *(F.col(c).alias(f"of_{c}") for c in places)).distinct()
-        held = ends.join(sets.select(F.col("class").alias("node"), "tokens").dropDuplicates(["node"]), "node")
-        return cut(held.groupBy(*(f"of_{c}" for c in places)).cogroup(pairs.groupBy(*places)).applyInPandas(verify, pair))
-
-    links = linked(tried)
-    parted_by = components(links)
-    rest = members.join(parted_by, "node", "left")
-    rest = rest.select("token", "node", "size", F.coalesce("component", "node").alias("component"))
-    several = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = cut(rest.join(several, "token", "left_semi"))
-    one, two = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "component"))) for s in "ab")
-    across = one.join(two, "token").where("node_a < node_b and component_a <> component_b")
-    across = across.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    across = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    found = components(links.union(linked(across)))
-    by_class = docs.where("class <> 0").select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
-    by_class = by_class.groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("doc_id").alias("component_id"))
-    out = docs.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    out = out.join(by_class, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+            some = in_filter(wanted.value, batch.column(1).to_numpy().view(np.uint64))
+            for _, _, data, offsets in K.pieces(batch.column(0).filter(pa.array(some))):
+                sets = {set_key(tokens): tokens for tokens in shingle_sets(data, offsets, n) if len(tokens)}
+                new = [key for key in sets if key not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([K.pack_sorted(sets[k]) for k in new], pa.binary())], names=["node", "tokens"])
+
+    sets = source.select("text", F.xxhash64("text").alias("print")).mapInArrow(fetch, T.StructType(binary("node", "tokens")))
+    held = cut(left.join(sets.groupBy("node").agg(F.max("tokens").alias("tokens")), "node"))
+    drop_table(left)
+
+    def verify(table: pa.Table) -> pa.Table:
+        """A spanning forest of the links among the members of each meeting; members already connected need no look."""
+        nodes, packed = table["node"].to_pylist(), table["tokens"].to_pylist()
+        sizes, links = np.array([len(b) // 8 for b in packed], np.int64), []
+        for rows, block in meetings(table, sizes):
+            tokens = [K.unpack_sorted(packed[k]) for k in rows.tolist()]
+            first: dict[int, list[np.ndarray]] = {}
+            tree = list(range(len(rows)))
+
+            def root(a: int, tree: list[int] = tree) -> int:
+                while tree[a] != a:
+                    tree[a] = tree[tree[a]]
+                    a = tree[a]
+                return a
+
+            for lot in near_pairs(sizes[rows], [parity_map(t) for t in tokens], percent, block):
+                for p, q in zip(*(side.tolist() for side in lot[:2]), strict=True):
+                    a, b = root(p), root(q)
+                    if a == b:
+                        continue
+                    for side in (p, q):
+                        if side not in first:
+                            first[side] = other_prefixes(tokens[side], percent)
+                    if all(may_link(x, y, percent) for x, y in zip(first[p], first[q], strict=True)) and linked(tokens[p], tokens[q], percent):
+                        tree[max(a, b)] = min(a, b)
+                        links.append((nodes[rows[p]], nodes[rows[q]]))
+        return pa.Table.from_arrays([pa.array([x[s] for x in links], pa.binary()) for s in (0, 1)], names=["a", "b"])
+
+    forest = met(held, F.length("tokens")).groupBy("task").applyInArrow(verify, T.StructType(binary("a", "b")))
+    found = components(forest).withColumnRenamed("node", "class")
+    drop_table(held)
+    least = docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(found, "class", "left")
+    least = least.select("class", "least", F.coalesce("component", "class").alias("component"))
+    named = least.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
+    out = docs.join(named, "class", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, **options) -> DataFrame:
-    """df (doc_id, text, lang, source, n_chars) with one row of each component, that of the least doc_id; of its twins one."""
+    """df (doc_id, text, lang, source, n_chars) with one row of each component, that of the least doc_id; of its twins one.
+
+    A row without words is a component of its own. Null doc_ids come first; ties of one doc_id fall by a hash of the row.
+    """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = pick(df, *columns).withColumn("tag", F.xxhash64(*columns))
+    rows = pick(df, *columns).withColumn("tag", row_key(*columns))
     found = jaccard_components(rows.select(F.struct("doc_id", "tag").alias("id"), "text"), doc_id="id", **options)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id.tag").alias("tag"))
+    stay = found.where("doc_id = component_id").select(F.col("doc_id.tag").alias("tag")).distinct()
     return rows.join(stay, "tag", "left_semi").dropDuplicates(["tag"]).select(*columns)
