@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
 from riskgraph.llm.common import components, cut, drop_table, pick, row_key, shuffle_width
+from riskgraph.llm.meet import FILTER_BITS, MOST_FILTER_BITS, filter_of, in_filter, key_array, key_words, meetings, met
 
 #: Documents from which a token is common, and goes last in the first order.
 COMMON = 4
@@ -27,15 +28,8 @@ COMMON = 4
 COUNTED = np.uint64(1 << 63)
 #: Tokens that a task holds before it hands them on.
 HELD = 500_000
-#: Bits a member of the filters that are broadcast, and the most there are, 16 MB. The filter of common tokens may hold some
-#: more tokens, as any order is right that is the same everywhere, and if there are too many for it only the commoner ones go
-#: last. The filter of wanted texts, too full, lets more texts through than are wanted, never fewer.
-FILTER_BITS, MOST_FILTER_BITS = 12, 1 << 27
-#: Members and bytes of a block of a large family; a meeting holds two blocks. Rows of small meetings that share a task.
-BLOCK, BLOCK_BYTES, TASK_ROWS = 4096, 8 << 20, 8192
 #: Pairs of parity maps compared at once.
 MATRIX = 1 << 20
-KEY = np.dtype("V16")
 #: Changes of a token that make the other orders.
 ORDERS = (np.uint64(0x1B873593CC9E2D51), np.uint64(0x38B34AE5A1E38B93))
 
@@ -156,16 +150,6 @@ def longs(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
-def key_array(keys: np.ndarray) -> pa.Array:
-    """Rows of two 64-bit words as an Arrow column of 16 bytes each."""
-    data = np.ascontiguousarray(keys)
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * len(data) + 1, 16, np.int32)), pa.py_buffer(data)])
-
-
-def key_words(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
-
-
 def parted(parts: int, by: np.ndarray, ascending: np.ndarray, *rest: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Rows by part, in each of them sorted by the first column, as packed blobs."""
     part = (by % np.uint64(parts)).astype(np.int32)
@@ -177,25 +161,6 @@ def parted(parts: int, by: np.ndarray, ascending: np.ndarray, *rest: np.ndarray)
         yield p, [K.pack_sorted(mine[0]), *(K.pack(c) for c in mine[1:])]
 
 
-def filter_of(members: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column member, two bits each, made by Spark; the driver gets its words alone."""
-    bits, n = 1 << 16, members.count()
-    while bits < MOST_FILTER_BITS and bits < FILTER_BITS * n:
-        bits *= 2
-    marks = members.select(F.explode(F.array(F.col("member").bitwiseAND(bits - 1), F.shiftrightunsigned("member", 32).bitwiseAND(bits - 1))).alias("bit"))
-    marks = marks.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
-    words = np.zeros(bits // 64, np.int64)
-    words[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64)
-    return words.view(np.uint64)
-
-
-def in_filter(words: np.ndarray, members: np.ndarray) -> np.ndarray:
-    mask, out = np.uint64(64 * len(words) - 1), np.ones(len(members), bool)
-    for bit in (members & mask, (members >> np.uint64(32)) & mask):
-        out &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-    return out
-
-
 def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
     """A filter of the counted tokens of at least COMMON documents, or of still commoner ones if there are too many."""
 
@@ -242,34 +207,6 @@ def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
     return words
 
 
-def met(rows: DataFrame, size: str) -> DataFrame:
-    """Members of families dealt into meetings, of which each family has one, or if it is large one for every two of its blocks.
-
-    rows: family, node and others; size: the column that says how many bytes a member takes. A meeting holds two blocks of
-    BLOCK members and BLOCK_BYTES at most, about. Adds block, i and j, and task, which bundles small meetings.
-    """
-    load = rows.groupBy("family").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-    load = load.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = rows.join(load, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    tasks = max(1, -(-total[0] // TASK_ROWS), -(-total[1] // BLOCK_BYTES))
-    dealt = dealt.withColumn("meeting", F.explode(others)).select("*", "meeting.i", "meeting.j").drop("meeting", "blocks")
-    return dealt.withColumn("task", F.pmod(F.xxhash64("family", "i", "j"), F.lit(tasks)))
-
-
-def meetings(table: pa.Table, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """The rows of each meeting in a task's table, by size, and their blocks if only members of two blocks are to meet."""
-    family, (i, j, block) = key_words(table["family"]), (table[c].to_numpy() for c in ("i", "j", "block"))
-    order = np.lexsort((sizes, j, i, family[:, 1], family[:, 0]))
-    new = np.zeros(len(order), bool)
-    for c in (i, j, family[:, 0], family[:, 1]):
-        new[1:] |= c[order][1:] != c[order][:-1]
-    for rows in np.split(order, np.flatnonzero(new)):
-        if len(rows) > 1:
-            yield rows, block[rows] if i[rows[0]] != j[rows[0]] else None
-
-
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df.
 
@@ -355,7 +292,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def families(table: pa.Table) -> pa.Table:
         """The members of the groups of a part's tokens, under the least of each group; groups of one member are left out."""
         token = np.concatenate([K.unpack_sorted(b) for b in table["tokens"].to_pylist()])
-        key = np.concatenate([K.unpack(b, KEY).view(np.uint64).reshape(-1, 2) for b in table["keys"].to_pylist()])
+        key = np.concatenate([K.unpack(b, np.dtype("V16")).view(np.uint64).reshape(-1, 2) for b in table["keys"].to_pylist()])
         order = np.lexsort((key[:, 1], key[:, 0], token))
         token, key = token[order], key[order]
         new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]).any(1))

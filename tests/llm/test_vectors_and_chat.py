@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from riskgraph.llm import chat, near_vectors, topk
+from riskgraph.llm import chat, meet, near_vectors, topk
 
 
 @pytest.fixture(scope="module")
@@ -42,29 +42,30 @@ def test_fewer_than_k(spark):
     assert [tuple(r) for r in topk.top_k(df, k=20).orderBy("rank").collect()] == [(0, 1, 2, 64 * 64 + 128 * 128), (0, 2, 1, 64 * 32 + 128 * 32)]
 
 
-@pytest.mark.parametrize("block", [16, 512])
+@pytest.mark.parametrize("block", [16, 4096])
 def test_near_vectors(spark, vectors, monkeypatch, block):
-    monkeypatch.setattr(near_vectors, "BLOCK", block)
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(df).collect()}
-    by_id = {i: (v, label) for i, v, label in vectors if i is not None}
-    fine = {i: np.array(v, np.float32).astype(float) for i, (v, label) in by_id.items() if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    links = defaultdict(set)
-    for i in fine:
-        for j in fine:
-            if i < j and by_id[i][1] == by_id[j][1] and fine[i] @ fine[j] / np.sqrt(fine[i] @ fine[i]) / np.sqrt(fine[j] @ fine[j]) >= 0.98:
-                links[i].add(j)
-                links[j].add(i)
-    least = {i: i for i in by_id}
-    for _ in by_id:
-        after = {i: min([least[i], *(least[j] for j in links[i])]) for i in by_id}
-        if after == least:
-            break
-        least = after
-    want = {i: (len(links[i]), least[i], least[i] == i) for i in by_id}
-    found = sum(got[i][0] for i in by_id)
-    assert found >= 0.99 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in by_id)
-    assert set(got) == set(want) and sum(got[i] != want[i] for i in by_id) <= 0.02 * len(by_id)
+    monkeypatch.setattr(meet, "BLOCK", block)
+    df = spark.createDataFrame([(i, v, label, "clash", 0) for i, v, label in vectors], "vec_id long, embedding array<float>, label int, LABEL string, bucket int")
+    with_clash = near_vectors.near_duplicates(df.toDF("vec_id", "embedding", "label", "Label", "bucket"))
+    got = sorted((r.vec_id or -1, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in with_clash.collect())
+    fine = [v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in vectors]
+    wide = [np.array(v, np.float32).astype(float) if ok else None for ok, (_, v, _) in zip(fine, vectors, strict=True)]
+    links = [[j for j in range(len(vectors)) if j != i and fine[i] and fine[j] and vectors[i][2] == vectors[j][2] and wide[i] @ wide[j] / np.sqrt(wide[i] @ wide[i]) / np.sqrt(wide[j] @ wide[j]) >= 0.98] for i in range(len(vectors))]
+    component = list(range(len(vectors)))
+    for i, mine in enumerate(links):
+        for j in mine:
+            component = [component[i] if c == component[j] else c for c in component]
+    least = {}
+    for c, (i, _, _) in zip(component, vectors, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    want = sorted((i or -1, len(mine), least.get(c, -1), i == least.get(c)) for (i, _, _), mine, c in zip(vectors, links, component, strict=True))
+    assert len(got) == len(want) and sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want)
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= 0.02 * len(want)
+
+
+def test_no_vectors(spark):
+    assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
 def test_recall_at_the_threshold():
