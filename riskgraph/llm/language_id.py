@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import pick
+from riskgraph.llm.common import cut, pick
 
 UNKNOWN = "und"
 #: Lengths of the n-grams, in code points of the lower-cased text.
@@ -22,19 +22,30 @@ LENGTHS = (1, 2, 3)
 FIT_TASKS = 16
 #: Bytes of text scored at once.
 PIECE = 1 << 19
-#: Bytes that the broadcast matrix may have; with too many languages the n-grams share fewer hash buckets instead.
-MATRIX_BYTES = 64 << 20
+#: Languages of a block: a broadcast matrix has so many columns at most, 32 MB, however many languages there are.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
-class Model:
-    """Log probabilities: matrix[bucket, language], prior[language]; buckets is a power of two."""
+class Block:
+    """Log probabilities of some languages: matrix[bucket, language], prior[language]; buckets is a power of two."""
 
     languages: list[str]
     matrix: np.ndarray
     prior: np.ndarray
 
 
+@dataclass(frozen=True)
+class Model:
+    """All languages, by name, in blocks."""
+
+    blocks: list[Block]
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for block in self.blocks for x in block.languages]
+
+
 def ngrams(texts: list[str], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length: the bucket of every n-gram of every text, and the n-grams' bounds by text."""
     encoded = [t.lower().encode("utf-32-le", "surrogatepass") for t in texts]
@@ -65,7 +76,8 @@ def fit(labelled: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, alpha
     """Learns from the rows of labelled (doc_id, text, lang) with neither text nor lang null.
 
     sample: about so many rows are learned from, those whose ids hash lowest; all, if there are no more. Counts are
-    summed by Spark; the driver gets a number for each language and bucket that occur, and for each language its rows.
+    summed by Spark; the driver gets a number for each language and bucket that occur, a block of languages at a time, and for
+    each language its rows. The number of buckets is the same for any number of languages.
     """
     usable = labelled.where("lang is not null and text is not null")
     rows = usable.select("lang").count()
@@ -90,60 +102,76 @@ def fit(labelled: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, alpha
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(bucket)), pa.array(bucket), pa.array(np.append(total[bucket[:-1]], texts[language]))], names=["lang", "bucket", "n"])
 
     # the sample is bounded, so a fixed number of tasks counts it, and what they hand on is bounded too
-    counts = usable.select("text", "lang").repartition(FIT_TASKS).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["lang"].unique().tolist())
-    at = {x: i for i, x in enumerate(languages)}
-    table = np.full((buckets, len(languages)), 0.0)
-    texts = counts[counts["bucket"] < 0]
-    grams = counts[counts["bucket"] >= 0]
-    table[grams["bucket"].to_numpy(), grams["lang"].map(at).to_numpy(np.int64)] = grams["n"].to_numpy()
-    while table.nbytes > MATRIX_BYTES and len(table) > 1024:
-        table = table[0::2] + table[1::2]
-    prior = np.zeros(len(languages))
-    prior[texts["lang"].map(at).to_numpy(np.int64)] = texts["n"].to_numpy()
-    table += alpha
-    return Model(languages, np.log(table / table.sum(0)), np.log(prior / max(1.0, prior.sum())))
-
-
-def score(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    """The likeliest language of each text and its posterior probability."""
-    n = len(texts)
-    if not model.languages:
-        return [UNKNOWN] * n, [0.0] * n
-    total = np.tile(model.prior, (n, 1))
-    for bucket, bounds in ngrams([t or "" for t in texts], len(model.matrix)):
+    counts = usable.select("text", "lang").repartition(FIT_TASKS).mapInArrow(count, "lang string, bucket long, n long")
+    counts = cut(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    texts = dict(sorted((r.lang, r.n) for r in counts.where("bucket < 0").collect()))
+    languages, total, blocks = list(texts), max(1, sum(texts.values())), []
+    for first in range(0, len(languages), BLOCK):
+        mine = languages[first : first + BLOCK]
+        grams = counts.where((F.col("bucket") >= 0) & F.col("lang").between(mine[0], mine[-1])).toPandas()
+        table = np.zeros((buckets, len(mine)))
+        table[grams["bucket"].to_numpy(np.int64), grams["lang"].map({x: i for i, x in enumerate(mine)}).to_numpy(np.int64)] = grams["n"].to_numpy()
+        table += alpha
+        blocks.append(Block(mine, np.log(table / table.sum(0)), np.log(np.array([texts[x] for x in mine]) / total)))
+    return Model(blocks)
+
+
+def score(texts: list[str | None], block: Block) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The likeliest language of the block for each text, its log score, and the sum of all the block's scores in units of it."""
+    total = np.tile(block.prior, (len(texts), 1))
+    for bucket, bounds in ngrams([t or "" for t in texts], len(block.matrix)):
         filled = np.flatnonzero(np.diff(bounds))
         if len(filled):
-            total[filled] += np.add.reduceat(model.matrix[bucket], bounds[filled])
-    best = total.argmax(1)
-    odds = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-    letters = [bool(t) and any(map(str.isalpha, t)) for t in texts]
-    return [model.languages[b] if x else UNKNOWN for b, x in zip(best.tolist(), letters, strict=True)], [o if x else 0.0 for o, x in zip(odds.tolist(), letters, strict=True)]
+            total[filled] += np.add.reduceat(block.matrix[bucket], bounds[filled])
+    best, top = total.argmax(1), total.max(1)
+    return [block.languages[b] for b in best.tolist()], top, np.exp(total - top[:, None]).sum(1)
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, lang_pred and score (0 to 1) for every row of df, read from its whole text alone.
 
     A null text, one with no letter, and every text where no language was learned: `und` and 0. Of languages as likely
-    the first by name wins. Repeated rows stay; other columns are left out; the step is narrow.
+    the first by name wins. Repeated rows stay; other columns are left out. The step is narrow; with languages of several
+    blocks there is one such step a block, which carries the best so far along.
     """
-    known = df.sparkSession.sparkContext.broadcast(model)
+    spark = df.sparkSession
     columns = keep if text in keep else (*keep, text)
     at = columns.index(text)
-    source = pick(df, *columns).toDF(*(f"k{i}" for i in range(len(columns))))
-    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, odds = [], []
-            for piece in text_pieces(batch.column(at)):
-                a, b = score(piece, known.value)
-                found += a
-                odds += b
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array(odds, pa.float64())], names=schema.names)
-
-    out = source.mapInArrow(run, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    out = pick(df, *columns).toDF(*(f"k{i}" for i in range(len(columns))))
+    empty = T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("top", T.DoubleType()), T.StructField("rest", T.DoubleType())])
+
+    def step(block: Broadcast[Block], first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, tops, rests = [], [], []
+                for piece in text_pieces(batch.column(at)):
+                    name, top, rest = score(piece, block.value)
+                    names += [x if has_letter(t) else UNKNOWN for x, t in zip(name, piece, strict=True)]
+                    tops.append(top)
+                    rests.append(rest)
+                top, rest = (np.concatenate([*x, np.zeros(0)]) for x in (tops, rests))
+                if not first:
+                    before, top_before, rest_before = batch.column(len(columns)).to_pylist(), *(batch.column(len(columns) + k).to_numpy() for k in (1, 2))
+                    stays = top_before >= top
+                    names = [x if y else z for x, y, z in zip(before, stays.tolist(), names, strict=True)]
+                    most = np.maximum(top, top_before)
+                    top, rest = most, rest * np.exp(top - most) + rest_before * np.exp(top_before - most)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(names, pa.string()), pa.array(top), pa.array(rest)], names=empty.names)
+
+        return run
+
+    for i, block in enumerate(model.blocks):
+        out = out.mapInArrow(step(spark.sparkContext.broadcast(block), not i), empty)
+        if i + 1 < len(model.blocks):
+            out = cut(out)
+    if not model.blocks:
+        out = out.withColumns({"lang_pred": F.lit(UNKNOWN), "rest": F.lit(1.0)})
+    odds = F.when(F.col("lang_pred") == UNKNOWN, F.lit(0.0)).otherwise(1 / F.col("rest"))
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", odds.alias("score"))
 
 
 def learn(df: DataFrame, **options) -> Model:

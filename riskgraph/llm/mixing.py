@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import cut, pick
+from riskgraph.llm.common import cut, pick, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -76,7 +76,7 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     takes of it, joined by single spaces. Empty texts have no words to take and stay as they are.
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    rows = pick(df, *columns).withColumn("tag", F.xxhash64(*columns))
+    rows = pick(df, *columns).withColumn("tag", row_key(*columns))
     taken = mix(rows, tag="tag", **options)
     whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1))))
     part = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.greatest("size", F.lit(1)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import os
+import random
 import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskgraph.llm import language_id, mixing, ngram_join, packing, recompression, secrets, token_counts
@@ -162,6 +166,41 @@ def test_ownership_tells_copied_from_owned(spark):
     assert {r.doc_id: r.text for r in secrets.redacted(df).collect()}[9] == "é see [SECRET] here"
 
 
+def brute_scan(rows: list[tuple]) -> Counter:
+    """Every row's added spans, live and copied base spans, by the rules of secrets.scan() written out."""
+    base, more, owners, repos = [], [], defaultdict(set), defaultdict(set)
+    for r in rows:
+        text, owner, repo = r[1] or "", r[3] or "", f"{r[3] or ''}/{r[2] or ''}"
+        base.append([(m.start(), m.end(), m.group(g)) for p, g, n in PATTERNS.values() for m in re.finditer(p, text, re.A) if len(m.group(g)) >= n])
+        long = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text)]
+        more.append([x for x in long if all(re.search(c, x[2]) for c in ("[a-z]", "[A-Z]", "[0-9]")) and len(set(x[2])) >= 8])
+        for _, _, v in base[-1] + more[-1]:
+            owners[v].add(owner)
+            repos[v].add(repo)
+    own = {v for v in owners if len(owners[v]) <= 1 and len(repos[v]) <= 2}
+    copied = {v for v in owners if len(owners[v]) >= 3 or len(repos[v]) >= 6}
+    out = Counter()
+    for r, b, m in zip(rows, base, more, strict=True):
+        added = [(s, e) for s, e, v in m if v in own and not any(s < y and x < e for x, y, _ in b)]
+        out[(r[0], tuple(added), sum(v in own for *_, v in b), sum(v in copied for *_, v in b))] += 1
+    return out
+
+
+@pytest.mark.parametrize("share", [2, 100_000])
+def test_added_spans_live_and_copied(spark, docs, rows, monkeypatch, share):
+    monkeypatch.setattr(secrets, "SHARE", share)
+    value, other, third = "aB3dE5gH7jK9mN1pQ3sT", "zY9xW7vU5tS3rQ1pO9nM", "Qw3Er5Ty7Ui9Op1As2Df4"
+    texts = [f"see {value}, token={other}", f"{third} password: {third}", f"api_key = '{value}' {other}", "x" * 30, "a1B2" * 20]
+    many = [(1000 + i, texts[i % 5], ("en", "de", "fr")[i % 3], f"s{i % 2}" if i % 5 == 1 else f"s{i % 7}", 0, "clash") for i in range(60)]
+    many += [(2000 + i, f"{draw}Ab9 {draw}Xy1Zw secret={draw}", None if i % 2 else "en", f"own{i}", 0, "clash") for i, draw in enumerate(["Kd83jdKs02kdLs93", "Mn4Bv5Cx6Zl7Kj8Hg", "Pq1Wo2Ei3Ru4Ty5"])]
+    whole = rows + many
+    df = docs.union(spark.createDataFrame(many, docs.schema))
+    got = Counter((r.doc_id, tuple((x.start, x.end) for x in r.found if x.kind == "mixed"), r.n_live, r.n_copied) for r in secrets.scan(df).collect())
+    assert got == brute_scan(whole)
+    masked = Counter(r.doc_id for r in secrets.redacted(df).collect())
+    assert masked == Counter(r[0] for r in whole)
+
+
 def test_many_secrets_in_one_text(spark):
     text = " ".join(f"token=abcdefghijkl{i:04d}" for i in range(1500))
     df = spark.createDataFrame([(1, text, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -187,6 +226,69 @@ def test_language_id(spark, docs, rows):
     assert all(held[d] == (zlib.crc32(str(d).encode()) % 3 == 1) for d in held if d is not None) and held[None] is False
 
 
+def brute_bayes(labelled: list[tuple], texts: list[str], buckets: int, alpha: float) -> list[tuple[str, float]]:
+    """Naive Bayes over hashed n-grams with Python numbers alone."""
+
+    def mixed(x: int) -> int:
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def grams(text: str) -> Counter:
+        points, out = [ord(c) for c in text.lower()], Counter()
+        for n in (1, 2, 3):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for p in points[i : i + n]:
+                    h = (h * 0x110001 + p + 1) % 2**64
+                out[mixed((h + (n << 58)) % 2**64) >> (64 - buckets.bit_length() + 1)] += 1
+        return out
+
+    seen, rows = defaultdict(Counter), Counter()
+    for text, lang in labelled:
+        seen[lang] += grams(text)
+        rows[lang] += 1
+    out = []
+    for text in texts:
+        scores = {}
+        for lang in sorted(seen):
+            whole = sum(seen[lang].values()) + alpha * buckets
+            scores[lang] = math.log(rows[lang] / sum(rows.values())) + sum(k * math.log((seen[lang][g] + alpha) / whole) for g, k in grams(text).items())
+        best = max(scores, key=scores.get)
+        out.append((best, 1 / sum(math.exp(s - scores[best]) for s in scores.values())) if any(map(str.isalpha, text)) else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_naive_bayes_against_plain_python(spark, docs, rows, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    draw = random.Random(8)
+    seen = [(i, "".join(draw.choice(f"{letters} ") for _ in range(draw.randrange(1, 60))), lang) for i in range(60) for lang, letters in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "öcd"), ("dd", "xyzabcdef"), ("ee", "xyz"))]
+    labelled = spark.createDataFrame([(i, t, lang) for i, t, lang in seen], "doc_id long, text string, lang string")
+    texts = ["a", "abc def", "ööö", "xyz" * 40, "", "123", "zebra crossing", "é"] + [t for _, t, _ in seen[:40]]
+    want = brute_bayes([(t, lang) for _, t, lang in seen], texts, 1 << 16, 0.05)
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(asked, language_id.fit(labelled)).collect()}
+    for i, (lang, odds) in enumerate(want):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(odds, rel=1e-6)
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    labelled = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a"), (3, "same words", "c")], "doc_id long, text string, lang string")
+    for r in language_id.identify(labelled, language_id.fit(labelled)).collect():
+        assert r.lang_pred == "a" and r.score == pytest.approx(1 / 3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't there")
+def test_held_out_accuracy(spark):
+    labelled = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = language_id.identify(labelled, language_id.learn(labelled), keep=("doc_id", "lang")).where(language_id.held_out() & F.col("lang").isNotNull() & (F.col("lang_pred") != "und"))
+    recall = {r.lang: (r.right, r.n) for r in told.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("right"), F.count("*").alias("n")).collect()}
+    assert len(recall) >= 4 and all(right >= 0.97 for right, n in recall.values() if n >= 20), recall
+
+
 def test_nothing_learned_nothing_told(docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.learn(empty)).collect()} == {"und"}
 
