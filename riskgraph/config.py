@@ -9,6 +9,10 @@ CHANNEL_GROUPS = {"upi": ("UPI",), "imps": ("IMPS",), "neft_rtgs": ("NEFT", "RTG
 STRUCTURING_BAND = (45_000, 50_000)
 SUB_THRESHOLD_BAND = (20_000, 100_000)
 FRESH_HOURS = 24
+FRESH_PAYEE_HOURS, REPORT_ABOVE = 1.0, 100_000
+FLOW_SECONDS, FLOW_HOPS, FLOW_FAN_OUT, FLOW_PATHS = 48 * 3600, 4, 3, 25
+ACTIVE_SHARE, SMALL = 0.01, 1e-9
+STR_FILING_DAYS = 7
 RAPID_SECONDS, BURST_SECONDS, VELOCITY_SECONDS = 3600, 1800, 3600
 NIGHT_HOURS = (0, 5)
 MAX_SHARED = 25

@@ -58,10 +58,10 @@ class RiskEngine:
         return rules.inline_decisions(transactions, risk)
 
     def rings(self, risk: DataFrame) -> DataFrame:
-        return rings.detect_rings(self.edges(), risk)
+        return rings.detect_rings(self.edges(), risk, graph.money(self.ledger, self.accounts), self.ledger.where("device is not null").select(F.col("src").alias("account"), "device"))
 
-    def flows(self, accounts: DataFrame, hops: int = 4) -> DataFrame:
-        return graph.flow_paths(graph.money(self.ledger, self.accounts), accounts, hops, least_hops=1)
+    def flows(self, accounts: DataFrame, hops: int = 4, backward: bool = False) -> DataFrame:
+        return graph.flow_paths(graph.money(self.ledger, self.accounts), accounts, hops, backward=backward)
 
     def ctr(self, threshold: float = rules.C.CTR_THRESHOLD) -> DataFrame:
         return compliance.ctr_candidates(self.ledger, threshold)

@@ -19,6 +19,8 @@ PII = (
 )
 #: The stricter mode takes the longer forms first, so that no end of a card or an address is left over.
 STRICT = ("[CARD]", "[EMAIL]", "[AADHAAR]", "[ACCOUNT]", "[VPA]", "[IFSC]", "[PAN]", "[PHONE]", "[IP]")
+# What is mined, and hosts of mail, which no payment address has.
+MAIL_HOSTS = ("gmail", "yahoo", "outlook", "hotmail", "example", "android", "google", "apache", "github", "googlemail", "live", "protonmail", "icloud")
 MINED = {"vpa": PII[1][1], "ipv4": PII[8][1], "ifsc": PII[2][1], "account": r"\b\d{11,18}\b", "phone": r"\b(?:\+91|91)?[6-9]\d{9}\b", "url": r"https?://[a-zA-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]{4,200}"}
 
 
@@ -48,10 +50,34 @@ def mine(text: Column, kind: str) -> Column:
     if kind == "ipv4":
         octets = lambda x: F.transform(F.split(x, r"\."), lambda o: o.cast("int"))
         found = F.filter(found, lambda x: F.forall(octets(x), lambda o: o <= 255) & ~F.element_at(octets(x), 1).isin(0, 127, 255))
+    if kind == "vpa":
+        handle = lambda x: F.lower(F.substring_index(x, "@", -1))
+        found = F.filter(found, lambda x: ~handle(x).isin(*MAIL_HOSTS) & F.length(handle(x)).between(3, 12))
+    if kind == "account":
+        # a run of digits is an account only beside a bank's code or a payment address
+        found = F.when((F.size(mine(text, "ifsc")) > 0) | (F.size(mine(text, "vpa")) > 0), found).otherwise(F.array().cast("array<string>"))
     return found
 
 
-NULLS = ("", "na", "n/a", "nan", "null", "none", "-")
+def short_names(text: Column, least: int = 50) -> Column:
+    """Share of class names (Lpath/Name;) of one or two characters, 0 where there are fewer than least: a mark of obfuscation."""
+    names = F.regexp_extract_all(text, F.lit(r"L[a-zA-Z0-9/$_]{1,40};"), F.lit(0))
+    short = F.filter(names, lambda x: F.length(F.regexp_replace(F.substring_index(x, "/", -1), ";$", "")) <= 2)
+    return F.when(F.size(names) >= least, F.round(F.size(short) / F.size(names), 4)).otherwise(0.0)
+
+
+# Columns that identify a person.
+SENSITIVE = ("account", "customer", "src", "dst", "vpa", "src_vpa", "dst_vpa", "beneficiary", "victim", "device", "ip", "home_device", "home_ip", "beneficiary_vpa")
+
+
+def redact_frame(df: DataFrame, key: bytes, columns: list[str] | None = None, drop: bool = False) -> DataFrame:
+    """df with its identifying columns (those of SENSITIVE, or the given) as keyed tokens, nulls kept, or without them."""
+    which = [c for c in df.columns if c in (SENSITIVE if columns is None else columns)]
+    return df.drop(*which) if drop else df.withColumns({c: token(F.col(c).cast("string"), key) for c in which})
+
+
+# What stands for no number.
+NULLS = ("", "na", "n/a", "nan", "null", "none", "-", "#n/a")
 
 
 def to_number(text: Column) -> Column:

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskgraph import config as C
@@ -29,14 +29,23 @@ def exposure(events: DataFrame, now: int, days: int = 7) -> DataFrame:
 
 
 def bodies(entries: DataFrame) -> DataFrame:
-    """Each entry (seq, actor, event, payload) with its payload digest and the digest of all it says."""
-    digest = F.sha2(F.col("payload"), 256)
-    body = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "actor", "event", digest), 256)
-    return entries.select("seq", "actor", "event", digest.alias("payload_digest"), body.alias("body"))
+    """Each entry (seq, at, actor, event, payload) with its payload digest and all it says. at: its time, as text.
+
+    A payload is digested as text; one that isn't text is first written as JSON with keys in order.
+    """
+    kind = entries.schema["payload"].dataType.typeName()
+    payload = F.col("payload")
+    if kind == "map":
+        payload = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(payload))))
+    elif kind == "struct":
+        payload = F.to_json(F.struct(*(payload[n].alias(n) for n in sorted(entries.schema["payload"].dataType.names))))
+    digest = F.sha2(payload.cast("string"), 256)
+    body = F.concat_ws("|", F.col("seq").cast("string"), "at", "actor", "event", digest)
+    return entries.select("seq", "at", "actor", "event", digest.alias("payload_digest"), body.alias("body"))
 
 
 def audit_chain(entries: DataFrame, genesis: str = GENESIS, rows_per_range: int = 1_000_000) -> DataFrame:
-    """Each entry (seq, actor, event, payload) with its payload digest, its predecessor's entry_hash and its own.
+    """Each entry (seq, at, actor, event, payload) with its payload digest, its predecessor's entry_hash and its own.
 
     An entry_hash covers the one before it, so it commits to the whole history, and seq may have gaps. Digests are made side by
     side; the hashes must follow one another, range of seq by range, each begun with the last hash of the range before.
@@ -45,8 +54,8 @@ def audit_chain(entries: DataFrame, genesis: str = GENESIS, rows_per_range: int
     rows = settled(bodies(entries))
     n = max(1, -(-rows.count() // rows_per_range))
     ranged = settled(rows.repartitionByRange(n, "seq").withColumn("part", F.spark_partition_id()))
-    path, head, columns = scratch(spark), genesis, ["seq", "actor", "event", "payload_digest", "prev_hash", "entry_hash"]
-    schema = entries.select("seq", "actor", "event", *(F.lit("").alias(c) for c in columns[3:])).schema
+    path, head, columns = scratch(spark), genesis, ["seq", "at", "actor", "event", "payload_digest", "prev_hash", "entry_hash"]
+    schema = entries.select("seq", "at", "actor", "event", *(F.lit("").alias(c) for c in columns[4:])).schema
 
     def chain(begin: str):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +63,7 @@ def audit_chain(entries: DataFrame, genesis: str = GENESIS, rows_per_range: int
             for frame in frames:
                 hashes = [last]
                 for body in frame["body"]:
-                    hashes.append(hashlib.sha256(f"{hashes[-1]}|{body}".encode()).hexdigest())
+                    hashes.append(hashlib.sha256(f"{body}|{hashes[-1]}".encode()).hexdigest())
                 last = hashes[-1]
                 yield frame.assign(prev_hash=hashes[:-1], entry_hash=hashes[1:])[columns]
 
@@ -73,7 +82,7 @@ def audit_chain(entries: DataFrame, genesis: str = GENESIS, rows_per_range: int
 def verify_chain(stored: DataFrame, entries: DataFrame, genesis: str = GENESIS) -> DataFrame:
     """seq of every entry that isn't stored as the entries have it, that isn't stored or known at all, or whose predecessor
     is one of these, isn't there, isn't earlier or has another successor. All are looked at side by side."""
-    own = F.sha2(F.concat_ws("|", "prev_hash", "body"), 256)
+    own = F.sha2(F.concat_ws("|", "body", "prev_hash"), 256)
     rows = stored.select("seq", "prev_hash", "entry_hash").join(bodies(entries).select("seq", "body"), "seq", "full")
     rows = rows.withColumn("holds", F.coalesce(own == F.col("entry_hash"), F.lit(False)))
     before = rows.where("entry_hash IS NOT NULL").select(F.col("entry_hash").alias("prev_hash"), F.col("seq").alias("seq_before"), F.col("holds").alias("holds_before"))
@@ -83,6 +92,31 @@ def verify_chain(stored: DataFrame, entries: DataFrame, genesis: str = GENESIS)
     return rows.where(~(F.col("holds") & F.coalesce(linked, F.lit(False)) & ~F.coalesce("forked", F.lit(False)))).select("seq").distinct()
 
 
+def chain_head(stored: DataFrame, genesis: str = GENESIS) -> DataFrame:
+    """head, entries: the last entry's hash, the first one's predecessor where there is none; what is published to bind the log."""
+    return stored.agg(F.coalesce(F.max_by("entry_hash", "seq"), F.lit(genesis)).alias("head"), F.count("*").alias("entries"))
+
+
+def chain_tail(stored: DataFrame, n: int = 50) -> DataFrame:
+    return stored.orderBy(F.col("seq").desc()).limit(n)
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Adds entries to a log of JSON lines; reload_log() reads it back without the payloads."""
+    entries.write.mode("append").json(path)
+
+
+def reload_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def totals(accounts: DataFrame, ledger: DataFrame, scores: DataFrame, rings: DataFrame | None = None, threshold: float = 40.0) -> DataFrame:
+    """One row: accounts, transactions, paise, alerts at the threshold, mean risk and the largest ring (size)."""
+    one = accounts.agg(F.count("*").alias("accounts")).crossJoin(ledger.agg(F.count("*").alias("transactions"), F.coalesce(F.sum("paise"), F.lit(0)).alias("paise")))
+    one = one.crossJoin(scores.agg(F.count_if(F.col("risk") >= threshold).alias("alerts"), F.avg("risk").alias("mean_risk")))
+    return one if rings is None else one.crossJoin(rings.agg(F.coalesce(F.max("size"), F.lit(0)).alias("largest_ring")))
+
+
 def overview(scores: DataFrame) -> DataFrame:
     """band, accounts, mean risk."""
     from riskgraph.operators.rules import band

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,11 @@ from riskgraph import config as C
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared checkpoint folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("riskgraph.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir()
     return f"{folder}/riskgraph-{uuid.uuid4().hex}"
 
 
@@ -123,7 +128,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 40, damping:
                 ranks = after.select("account", "rank")
                 break
         ranks = after.select("account", "rank")
-    return ranks.select("account", F.round("rank", 9).alias("pagerank"))
+    return ranks.select("account", F.col("rank").alias("pagerank"))
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -167,35 +172,64 @@ def top_neighbours(edges: DataFrame, fanout: int) -> DataFrame:
 def propagate(neighbours: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
     """Weighted neighbour means of the columns of values, one aggregation layer; accounts without neighbours get none."""
     joined = neighbours.join(values.select(F.col("account").alias("dst"), *columns), "dst")
-    return joined.groupBy(F.col("src").alias("account")).agg(*(F.round(F.sum(F.col("part") * F.col(c)), 6).alias(c) for c in columns))
+    return joined.groupBy(F.col("src").alias("account")).agg(*(F.sum(F.col("part") * F.col(c)).alias(c) for c in columns))
 
 
-def flow_paths(transfers: DataFrame, starts: DataFrame, hops: int = 3, seconds: int = 72 * 3600, fan_out: int = 3, least_hops: int = 2) -> DataFrame:
-    """Money trails from the accounts of starts: each hop later than the one before by at most the seconds, the fan_out
-    largest of them, no account twice. One row a trail of least_hops or more, as long as it got at each length.
+def flow_paths(transfers: DataFrame, starts: DataFrame, hops: int = C.FLOW_HOPS, seconds: int = C.FLOW_SECONDS, fan_out: int = C.FLOW_FAN_OUT, most: int | None = C.FLOW_PATHS, backward: bool = False) -> DataFrame:
+    """Money trails from the accounts of starts: each hop later than the one before by at most the seconds, of all such hops
+    the fan_out largest, of these none to an account that the trail has. One row a trail that has so many hops or goes no
+    further; one whose only ways on lead back is left out. Of a start the most trails with the largest first amount (a report's
+    length; None: all). backward: where the money came from, each hop earlier than the one before.
 
-    start, accounts, paise (of each hop), hops, retention (last over first), seconds (first to last).
+    start, accounts, txns, hops, paise (first), last_paise, retention (last over first), seconds (first to last hop) and
+    median_gap (median seconds between hops, 0 of one hop).
     """
-    step = transfers.select("src", "dst", "paise", "ts_s", "txn_id")
+    ends, sign = (("dst", "src"), -1) if backward else (("src", "dst"), 1)
+    step = transfers.select(F.col(ends[0]).alias("src"), F.col(ends[1]).alias("dst"), "paise", (F.col("ts_s") * sign).alias("ts_s"), "txn_id")
 
     def largest(rows: DataFrame, by: list[str]) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(F.col("paise").desc(), "ts_s", "txn_id")
         return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= fan_out).drop("place")
 
-    paths = largest(step.join(starts.select(F.col("account").alias("src")), "src", "left_semi"), ["src"])
+    paths = largest(step.join(starts.select(F.col("account").alias("src")), "src", "left_semi"), ["src"]).where("src <> dst")
     paths = paths.select(F.col("src").alias("start"), F.array("src", "dst").alias("accounts"), F.array("paise").alias("amounts"), F.array("ts_s").alias("times"), F.array("txn_id").alias("txns"))
-    found = paths if least_hops < 2 else None
-    for length in range(2, hops + 1):
+    ended = []
+    for _ in range(2, hops + 1):
         last, at = F.element_at("accounts", -1), F.element_at("times", -1)
-        longer = paths.join(step, (last == F.col("src")) & (F.col("ts_s") > at) & (F.col("ts_s") <= at + seconds) & ~F.array_contains("accounts", F.col("dst")))
-        longer = largest(longer, ["start", "txns"])
+        onward = paths.join(step, (last == F.col("src")) & (F.col("ts_s") > at) & (F.col("ts_s") <= at + seconds), "left")
+        ended.append(onward.where("src is null").select(*paths.columns))
+        longer = largest(onward.where("src is not null"), ["start", "txns"]).where(~F.array_contains("accounts", F.col("dst")))
         paths = longer.select("start", F.array_append("accounts", F.col("dst")).alias("accounts"), F.array_append("amounts", F.col("paise")).alias("amounts"), F.array_append("times", F.col("ts_s")).alias("times"), F.array_append("txns", F.col("txn_id")).alias("txns"))
-        if length >= least_hops:
-            found = paths if found is None else found.union(paths)
-    return found.select(
-        "start", F.array_join("accounts", ">").alias("accounts"), F.size("amounts").cast("long").alias("hops"), (F.element_at("amounts", -1) / F.element_at("amounts", 1)).alias("retention"),
-        (F.element_at("times", -1) - F.element_at("times", 1)).alias("seconds"), F.array_join("txns", ">").alias("txns"),
+    found = reduce(DataFrame.union, ended, paths)
+    times, amounts = F.col("times"), F.col("amounts")
+    gaps = F.array_sort(F.zip_with(F.slice(times, 2, F.size(times) - 1), F.slice(times, 1, F.size(times) - 1), lambda b, a: b - a))
+    middle = (F.get(gaps, F.floor((F.size(gaps) - 1) / 2).cast("int")) + F.get(gaps, F.floor(F.size(gaps) / 2).cast("int"))) / 2
+    out = found.select(
+        "start", F.array_join("accounts", ">").alias("accounts"), F.array_join("txns", ">").alias("txns"), F.size("amounts").cast("long").alias("hops"), F.element_at(amounts, 1).alias("paise"), F.element_at(amounts, -1).alias("last_paise"),
+        (F.element_at(amounts, -1) / F.greatest(F.element_at(amounts, 1), F.lit(100))).alias("retention"), (F.element_at(times, -1) - F.element_at(times, 1)).alias("seconds"), F.when(F.size(times) > 1, middle).otherwise(0.0).alias("median_gap"),
     )
+    if most is None:
+        return out
+    order = Window.partitionBy("start").orderBy(F.col("paise").desc(), "txns")
+    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def neighbours(edges: DataFrame, account: Column) -> DataFrame:
+    """account, weight: the neighbours of one account in any direction, the heaviest edge of each."""
+    return both_weighted(edges).where(F.col("src") == account).groupBy(F.col("dst").alias("account")).agg(F.max("weight").alias("weight"))
+
+
+def both_weighted(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight"))
+
+
+def adjacency(edges: DataFrame, most: int = 400) -> DataFrame:
+    """account, edges (array of dst and weight, heaviest first): each account's edges in one row, for display; most of them at most."""
+    links = both_weighted(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    heaviest = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
+    kept = links.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("place", "dst", "weight")))
+    return kept.groupBy(F.col("src").alias("account")).agg(listed.alias("edges")).select("account", F.transform("edges", lambda x: F.struct(x["dst"].alias("dst"), x["weight"].alias("weight"))).alias("edges"))
 
 
 def ego_network(edges: DataFrame, centre: Column, hops: int = 2, cap: int = 250) -> DataFrame:

@@ -64,10 +64,18 @@ def limits(directives: DataFrame, defaults: dict[str, float] | None = None) -> D
 
 
 def intel_features(accounts: DataFrame, tickets: DataFrame, indicators: DataFrame, directives: DataFrame, now: int) -> DataFrame:
-    """Eight features an account from what was known by now, and has_intelligence."""
+    """Eight features an account from what was known by now, and has_intelligence.
+
+    Indicators hit by account number or, where accounts have a column vpa, by payment address: two equi joins brought together.
+    Listed are accounts of mule lists alone; sanctions act on the score (apply_directives).
+    """
     known = tickets.where(F.col("ts_s") <= now).groupBy(F.col("beneficiary").alias("account")).agg(F.count("*").alias("n"), F.sum("paise").alias("p"), F.max("ts_s").alias("last"), F.countDistinct("victim").alias("v"))
-    hits = indicators.where((F.col("ts_s") <= now) & (F.col("kind") == "ACCOUNT")).groupBy(F.expr("try_cast(value as bigint)").alias("account")).agg(F.max("confidence").alias("c"))
-    listed = entities(directives.where(F.col("ts_s") <= now), "LISTED", "SANCTION").withColumn("l", F.lit(1))
+    seen = indicators.where(F.col("ts_s") <= now)
+    hits = seen.where("kind = 'ACCOUNT'").select(F.expr("try_cast(value as bigint)").alias("account"), "confidence")
+    if "vpa" in accounts.columns:
+        hits = hits.union(seen.where("kind = 'VPA'").join(accounts.select("account", F.col("vpa").alias("value")), "value").select("account", "confidence"))
+    hits = hits.groupBy("account").agg(F.max("confidence").alias("c"))
+    listed = entities(directives.where(F.col("ts_s") <= now), "LISTED").withColumn("l", F.lit(1))
     rows = accounts.select("account").join(known, "account", "left").join(hits, "account", "left").join(listed, "account", "left")
     recency = F.when(F.col("last").isNull(), C.NO_TICKET_RECENCY).otherwise(F.least(F.greatest((F.lit(now) - F.col("last")) / 86400, F.lit(0.0)), F.lit(C.NO_TICKET_RECENCY)))
     zero = F.lit(0)
@@ -82,3 +90,31 @@ def apply_directives(risk: DataFrame, directives: DataFrame, neighbours: DataFra
     rows = risk.join(listed, "account", "left").join(sanctioned, "account", "left").join(near, "account", "left")
     score = F.when(F.col("s"), 100.0).when(F.col("l"), F.greatest("risk", F.lit(C.LISTED_FLOOR))).when(F.col("n"), F.least(F.col("risk") + C.NEIGHBOUR_BONUS, F.lit(100.0))).otherwise(F.col("risk"))
     return rows.select("account", score.alias("risk"))
+
+
+def advisories(directives: DataFrame, now: int | None = None) -> DataFrame:
+    """feed_id, kind, ts_s, payload (JSON) of advisories and typologies published by now; plain text becomes {"text": ...}."""
+    rows = directives.where(F.col("kind").isin("ADVISORY", "TYPOLOGY"))
+    rows = rows if now is None else rows.where(F.col("ts_s") <= now)
+    parsed = F.try_parse_json("payload")
+    return rows.select("feed_id", "kind", "ts_s", F.when(parsed.isNotNull(), F.col("payload")).otherwise(F.to_json(F.struct(F.col("payload").alias("text")))).alias("payload"))
+
+
+def ingest_directives(raw: DataFrame, order: str) -> DataFrame:
+    """raw with lists joined by commas and maps or structs as JSON, one row a feed_id, the last by order."""
+    out = []
+    for field in raw.schema.fields:
+        kind = field.dataType.typeName()
+        c = F.col(field.name)
+        out.append((F.array_join(c.cast("array<string>"), ",") if kind == "array" else F.to_json(c) if kind in ("map", "struct") else c).alias(field.name))
+    return keep_last(raw.select(*out), "feed_id", order)
+
+
+def validated(ledger: DataFrame, channels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may enter, rows that may not with their reasons): a positive amount, known channel, two parties, an age of 0 or more."""
+    reasons = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("paise") <= 0, F.lit(True)), "AMOUNT"), F.when(~F.coalesce(F.col("channel").isin(*channels), F.lit(False)), "CHANNEL"),
+        F.when(F.col("src").isNull() | F.col("dst").isNull(), "PARTY"), F.when(F.coalesce(F.col("ben_age") < 0, F.lit(False)), "BENEFICIARY_AGE"),
+    ))
+    told = ledger.withColumn("reasons", F.array_join(reasons, ","))
+    return told.where("reasons = ''").drop("reasons"), told.where("reasons <> ''")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.operators.graph import connected_components, settled
@@ -62,20 +62,39 @@ def communities(frame: pd.DataFrame, resolution: float, total: float | None = No
         near, degree = joined, mass
 
 
-def detect_rings(edges: DataFrame, risk: DataFrame, threshold: float = 55.0, resolution: float = 4.0, seeds: int = 2000) -> DataFrame:
-    """ring, members, size, flagged, mean_risk, density, typology, strongest first.
+def shape(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links, greatest degree and whether all hang together, of the distinct links (src, dst) among a ring's flagged members."""
+    near: dict[int, set[int]] = {}
+    for a, b in zip(frame["src"].tolist(), frame["dst"].tolist(), strict=True):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, todo = set(), [min(near)]
+    while todo:
+        a = todo.pop()
+        if a not in seen:
+            seen.add(a)
+            todo += near[a] - seen
+    return pd.DataFrame({"ring": [frame["ring"].iloc[0]], "links": [len(frame)], "most": [max(map(len, near.values()))], "reached": [len(seen)]})
+
+
+def detect_rings(edges: DataFrame, risk: DataFrame, transfers: DataFrame | None = None, devices: DataFrame | None = None, threshold: float = 55.0, resolution: float = 4.0, seeds: int = 2000) -> DataFrame:
+    """ring, members, associated, size, mean_risk, max_risk, density, paise, shared_devices, collectors, cashouts, typology.
 
     The subgraph is that of the riskiest accounts over the threshold, at most so many (a report's limit, as each component of
     it is worked on in one task), and their device neighbours. Modularity is that of the whole subgraph, so a component's
-    communities depend on its share of it. mean_risk is over flagged members alone.
+    communities depend on its share of it. Members are the flagged accounts of a community; the others are associated, and no
+    number is over them. transfers (src, dst, paise) give the turnover among members, the three that take in most beyond
+    what they send, and the three the other way; devices (account, device) those that several members use. Strongest first.
     """
-    risky = risk.where(F.col("risk") >= threshold).orderBy(F.col("risk").desc(), "account").limit(seeds).select("account")
+    spark = edges.sparkSession
+    transfers = spark.createDataFrame([], "src long, dst long, paise long") if transfers is None else transfers.select("src", "dst", "paise")
+    devices = spark.createDataFrame([], "account long, device string") if devices is None else devices.select("account", "device").distinct()
+    risky = settled(risk.where(F.col("risk") >= threshold).orderBy(F.col("risk").desc(), "account").limit(seeds).select("account"))
     device = edges.where("kind = 'DEVICE'").select("src", "dst").union(edges.where("kind = 'DEVICE'").select("dst", "src"))
     nodes = settled(risky.union(device.join(risky, F.col("src") == F.col("account"), "left_semi").select(F.col("dst").alias("account"))).distinct())
     inside = edges.join(nodes.select(F.col("account").alias("src")), "src", "left_semi").join(nodes.select(F.col("account").alias("dst")), "dst", "left_semi")
     inside = settled(inside.select("src", "dst", "weight", "kind"))
     parts = connected_components(nodes, inside)
-
     total = 2 * (inside.agg(F.sum("weight")).first()[0] or 0)
 
     def split(frame: pd.DataFrame) -> pd.DataFrame:
@@ -83,12 +102,48 @@ def detect_rings(edges: DataFrame, risk: DataFrame, threshold: float = 55.0, res
         return pd.DataFrame({"account": list(found), "ring": list(found.values())}).astype("int64")
 
     home = inside.join(parts.select(F.col("account").alias("src"), "component"), "src").groupBy("component").applyInPandas(split, "account long, ring long")
-    members = settled(home).join(risk, "account")
-    rings = members.groupBy("ring").agg(F.array_sort(F.collect_list("account")).alias("members"), F.count("*").alias("size"), F.count_if(F.col("risk") >= threshold).alias("flagged"), F.avg(F.when(F.col("risk") >= threshold, F.col("risk"))).alias("mean_risk"))
-    rings = rings.where((F.col("flagged") >= MIN_FLAGGED) & (F.col("size") <= MAX_SIZE) & (F.col("flagged") / F.col("size") >= MIN_SHARE) & (F.col("mean_risk") >= MIN_RISK))
-    a, b = (members.select(F.col("account").alias(s), F.col("ring").alias(f"ring_{s}")) for s in ("src", "dst"))
-    own = inside.join(a, "src").join(b, "dst").where("ring_src = ring_dst")
-    held = own.groupBy(F.col("ring_src").alias("ring")).agg(F.count("*").alias("links"), F.avg((F.col("kind") == "DEVICE").cast("double")).alias("device_share"))
-    rings = rings.join(held, "ring").withColumn("density", F.round(2 * F.col("links") / (F.col("size") * (F.col("size") - 1)), 6))
-    kind = F.when(F.col("device_share") > 0.5, "DEVICE_FARM").when(F.col("links") == F.col("size") - 1, "CHAIN_OR_STAR").when(F.col("density") > 0.5, "DENSE").otherwise("CLUSTER")
-    return rings.select("ring", F.array_join("members", ",").alias("members"), "size", "flagged", F.round("mean_risk", 6).alias("mean_risk"), "density", kind.alias("typology")).orderBy(F.desc(F.col("mean_risk") * F.col("flagged")), "ring")
+    members = settled(home.join(risk, "account").join(risky.withColumn("flagged", F.lit(True)), "account", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False))))
+    flagged = F.col("flagged")
+    rings = members.groupBy("ring").agg(
+        F.array_sort(F.collect_list(F.when(flagged, F.col("account")))).alias("members"), F.array_sort(F.collect_list(F.when(~flagged, F.col("account")))).alias("associated"),
+        F.count_if(flagged).alias("size"), F.count("*").alias("n"), F.avg(F.when(flagged, F.col("risk"))).alias("mean_risk"), F.max(F.when(flagged, F.col("risk"))).alias("max_risk"),
+    )
+    rings = settled(rings.where((F.col("size") >= MIN_FLAGGED) & (F.col("n") <= MAX_SIZE) & (F.col("size") / F.col("n") >= MIN_SHARE) & (F.col("mean_risk") >= MIN_RISK)))
+    own = settled(members.where(flagged).join(rings.select("ring"), "ring", "left_semi").select("ring", "account"))
+
+    def side(name: str) -> DataFrame:
+        return own.select(F.col("account").alias(name), F.col("ring").alias(f"ring_{name}"))
+
+    both = F.col("ring_src") == F.col("ring_dst")
+    among = inside.join(side("src"), "src").join(side("dst"), "dst").where(both).select(F.col("ring_src").alias("ring"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    shapes = among.groupBy("ring").applyInPandas(shape, "ring long, links long, most long, reached long")
+    turnover = transfers.join(side("src"), "src").join(side("dst"), "dst").where(both).groupBy(F.col("ring_src").alias("ring")).agg(F.sum("paise").alias("paise"))
+    used = devices.join(own, "account").groupBy("ring", "device").agg(F.count("*").alias("users")).where("users > 1")
+    used = used.groupBy("ring").agg(F.slice(F.array_sort(F.collect_list("device")), 1, 10).alias("shared_devices"))
+    flows = transfers.select(F.col("dst").alias("account"), F.col("paise").alias("taken"), F.lit(0).cast("long").alias("sent")).union(transfers.select("src", F.lit(0).cast("long"), "paise"))
+    flows = own.join(flows.groupBy("account").agg(F.sum("taken").alias("taken"), F.sum("sent").alias("sent")), "account")
+    net = F.col("taken") - F.col("sent")
+
+    def three(moved: str, order: Column) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col(moved) > 0, F.struct(order.alias("order"), "account"))))
+        return F.transform(F.slice(listed, 1, 3), lambda x: x["account"])
+
+    money = flows.groupBy("ring").agg(three("taken", -net).alias("collectors"), three("sent", net).alias("cashouts"), (F.max("sent") / F.greatest(F.sum("sent"), F.lit(100))).alias("largest_share"))
+    out = rings.join(shapes, "ring", "left").join(turnover, "ring", "left").join(used, "ring", "left").join(money, "ring", "left")
+    links, size = F.coalesce("links", F.lit(0)), F.col("size")
+    density = 2 * links / (size * (size - 1))
+    most = F.coalesce("most", F.lit(0))
+    kind = F.when(F.size("shared_devices") > 0, "DEVICE_FARM").when((most >= 0.6 * (size - 1)) & (size > 4), "FAN_IN_AGGREGATION")
+    kind = kind.when((density < 0.35) & (F.coalesce("reached", F.lit(0)) == size) & (most <= 3), "LAYERING_CHAIN").when(F.coalesce("largest_share", F.lit(0.0)) > 0.5, "RAPID_CASHOUT").otherwise("MULE_CLUSTER")
+
+    def joined(name: str) -> Column:
+        return F.coalesce(F.array_join(F.col(name).cast("array<string>"), ","), F.lit("")).alias(name)
+
+    return out.select(
+        "ring", joined("members"), joined("associated"), "size", "mean_risk", "max_risk", density.alias("density"), F.coalesce("paise", F.lit(0)).alias("paise"), joined("shared_devices"), joined("collectors"), joined("cashouts"), kind.alias("typology"),
+    ).orderBy(F.desc(F.col("mean_risk") * size), "ring")
+
+
+def ring_of(rings: DataFrame) -> DataFrame:
+    """account, ring: each flagged member with its ring."""
+    return rings.select("ring", F.explode(F.split("members", ",")).alias("account")).select(F.col("account").cast("long").alias("account"), "ring")

@@ -49,37 +49,56 @@ def rule_summary(fired: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def inline_decisions(ledger: DataFrame, risk: DataFrame) -> DataFrame:
-    """txn_id, score and action of each transaction from the standing risk (account, risk) of its parties, 0 if unknown."""
+    """txn_id, score, band, action and reasons of each transaction from the standing risk (account, risk) of its parties.
+
+    An unknown party counts 0. ben_age: hours since the payee was added; 0 or null is unknown, as a record without it has it.
+    """
     def of(side: str) -> DataFrame:
         return risk.select(F.col("account").alias(side), F.col("risk").alias(f"{side}_risk"))
 
     rows = ledger.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
     src, dst = F.coalesce("src_risk", F.lit(0.0)), F.coalesce("dst_risk", F.lit(0.0))
-    score = F.greatest(src * 0.35, dst)
-    score = score + F.when((F.col("ben_age") < C.FRESH_HOURS) & (F.col("paise") >= 2_500_000), 18).otherwise(0)
-    score = score + F.when((F.col("channel").isin(*C.CASH_CHANNELS) | (F.col("dst") == C.CASH_SINK)) & (src >= 55), 12).otherwise(0)
+    fresh = F.coalesce((F.col("ben_age") > 0) & (F.col("ben_age") < C.FRESH_PAYEE_HOURS) & (F.col("paise") >= 2_500_000), F.lit(False))
+    cash_out = F.coalesce(F.col("channel").isin(*C.CASH_CHANNELS) & (src >= 55), F.lit(False))
+    score = F.greatest(src * 0.35, dst) + F.when(fresh, 18).otherwise(0) + F.when(cash_out, 12).otherwise(0)
     score = F.least(score, F.lit(100.0))
     action = F.when(score >= 85, "BLOCK").when(score >= 65, "HOLD").when(score >= 40, "REVIEW").otherwise("ALLOW")
-    return rows.select("txn_id", F.round(score, 6).alias("score"), action.alias("action"))
+    reasons = F.array_compact(F.array(F.when(dst >= 65, "HIGH_RISK_BENEFICIARY"), F.when(fresh, "FRESH_BENEFICIARY"), F.when(cash_out, "CASH_OUT_ATTEMPT")))
+    return rows.select("txn_id", score.alias("score"), band(score).alias("band"), action.alias("action"), F.array_join(reasons, ",").alias("reasons"))
 
 
 def suggested_actions(scores: DataFrame) -> DataFrame:
-    """account, band and the actions a score calls for, strongest first."""
+    """account, band and the actions called for: never a freeze on a weak signal.
+
+    scores: account, risk, and if known codes (those of the evidence) and amount_at_risk, in rupees.
+    """
     s = F.col("risk")
-    actions = F.array_compact(F.array(F.when(s >= 85, "FULL_FREEZE"), F.when((s >= 65) & (s < 85), "FREEZE_DEBIT"), F.when(s >= 65, "FILE_STR"), F.when((s >= 40) & (s < 65), "STEP_UP"), F.when(s >= 40, "INVESTIGATE"), F.lit("MONITOR")))
-    return scores.select("account", band(s).alias("band"), F.array_join(actions, ",").alias("actions"))
+    codes = F.coalesce("codes", F.array().cast("array<string>")) if "codes" in scores.columns else F.array().cast("array<string>")
+    amount = F.coalesce("amount_at_risk", F.lit(0.0)) if "amount_at_risk" in scores.columns else F.lit(0.0)
+    report = (s >= C.KILLSWITCH_FLOOR) | ((s >= 65) & ((amount > C.REPORT_ABOVE) | F.array_contains(codes, "NCRP_TICKET")))
+    first = F.when(s >= C.KILLSWITCH_FLOOR, "FULL_FREEZE").when(s >= 65, "FREEZE_DEBIT").when(s >= 40, F.when(F.array_contains(codes, "FAN_IN"), "HOLD_CREDIT").otherwise("STEP_UP_AUTH")).otherwise("MONITOR")
+    return scores.select("account", band(s).alias("band"), F.concat_ws(",", first, F.when(report, "REPORT_STR")).alias("actions"))
 
 
 def kill_switch(requests: DataFrame, layers: list[str]) -> DataFrame:
     """What automation may do by itself: account, layers, refusals, action.
 
-    requests: account, risk, proposed, protected and a score (0 to 1) for each layer. A refused freeze becomes MONITOR. The
-    hourly freeze budget depends on what was allowed before, so it is kept by riskgraph.streaming.decide.
+    requests: account, risk, proposed, protected and a score (0 to 1) for each layer. A refused freeze becomes HOLD_CREDIT from
+    a risk of 65 on, else MONITOR. The hourly freeze budget depends on what was allowed before, so it is kept by
+    riskgraph.streaming.decide.
     """
     severe = F.col("proposed").isin("FREEZE_DEBIT", "FULL_FREEZE")
-    agreed = sum(((F.col(x) >= C.LAYER_THRESHOLD).cast("int") for x in layers), F.lit(0))
+    agreed = sum(((F.coalesce(F.col(x), F.lit(0.0)) >= C.LAYER_THRESHOLD).cast("int") for x in layers), F.lit(0))
     reasons = F.array_compact(F.array(
         F.when(severe & F.col("protected"), "PROTECTED"), F.when((F.col("proposed") == "FULL_FREEZE") & (F.col("risk") < C.KILLSWITCH_FLOOR), "BELOW_FLOOR"),
         F.when(severe & (agreed < C.MIN_LAYERS), "UNCORROBORATED"),
     ))
-    return requests.select("account", agreed.alias("layers"), F.array_join(reasons, ",").alias("refusals"), F.when(F.size(reasons) > 0, "MONITOR").otherwise(F.col("proposed")).alias("action"))
+    instead = F.when(F.col("risk") >= 65, "HOLD_CREDIT").otherwise("MONITOR")
+    return requests.select("account", agreed.alias("layers"), F.array_join(reasons, ",").alias("refusals"), F.when(F.size(reasons) > 0, instead).otherwise(F.col("proposed")).alias("action"))
+
+
+def action_summary(log: DataFrame, now: int) -> DataFrame:
+    """action, taken and freezes_last_hour of a containment log (account, seq, taken_at, ttl, action); reversals are no actions."""
+    taken = log.where("action <> 'REVERT'")
+    hour = F.col("action").isin("FREEZE_DEBIT", "FULL_FREEZE") & (F.col("taken_at") > now - 3600)
+    return taken.groupBy("action").agg(F.count("*").alias("taken"), F.count_if(hour).alias("freezes_last_hour"))

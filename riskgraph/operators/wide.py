@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskgraph import config as C
 from riskgraph.functions.grammar import parse
 
 #: What engineered columns are called by.
@@ -46,39 +47,94 @@ def _squared_from(mean: Column):
     return lambda x: (x - mean) * (x - mean)
 
 
-def family_rollups(df: DataFrame, keys: list[str]) -> DataFrame:
-    """For every family of two or more columns: mean, max, population deviation and nulls of the row's values."""
-    families = defaultdict(list)
-    for c in df.columns:
-        if c not in keys and not parse(c).static:
-            families[parse(c).family].append(c)
+def _mean(columns: list[str]) -> Column:
+    """Mean of the row's filled values, null if there are none."""
+    values = _filled(columns)
+    return _sum(values) / F.nullif(F.size(values), F.lit(0))
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    """a / b, and 0 where b is next to nothing; null where either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(F.abs(b) > C.SMALL, a / b).otherwise(0.0))
+
+
+def families(columns: list[str]) -> dict[str, list[str]]:
+    """Columns that differ by their window alone; static ones have no family."""
+    out: dict[str, list[str]] = defaultdict(list)
+    for c in columns:
+        if not parse(c).static:
+            out[parse(c).family].append(c)
+    return dict(out)
+
+
+def dictionary(df_or_names: DataFrame | list[str]) -> list[tuple]:
+    """(name, aggregation, inducer, channel, direction, measure, window, family, static) of each column name."""
+    names = df_or_names if isinstance(df_or_names, list) else df_or_names.columns
+    return [(n, p.aggregation, p.inducer, p.channel, p.direction, p.measure, p.window, p.family, p.static) for n, p in ((n, parse(n)) for n in names)]
+
+
+def family_rollups(df: DataFrame, keys: list[str], most: int = 400) -> DataFrame:
+    """For the families of two or more windowed columns: mean, max, population deviation and nulls of the row's values, and where
+    both are there the mean of windows of up to 7 days over that of windows of 31 days and more. Families are taken by size,
+    most of them at the most: they are columns, over a thousand in a wide extract, not rows."""
+    windowed = families([c for c in df.columns if c not in keys and parse(c).window])
+    ranked = sorted((f for f in windowed.items() if len(f[1]) > 1), key=lambda f: -len(f[1]))[:most]
     out: list[Column] = []
-    for name, columns in families.items():
-        if len(columns) > 1:
-            values = _filled(columns)
-            n = F.nullif(F.size(values), F.lit(0))
-            mean = _sum(values) / n
-            deviation = F.sqrt(_sum(F.transform(values, _squared_from(mean))) / n)
-            out += [F.round(mean, 6).alias(f"{PREFIX}{name}_MEAN"), F.array_max(values).alias(f"{PREFIX}{name}_MAX"), F.round(deviation, 6).alias(f"{PREFIX}{name}_SD"), (F.lit(len(columns)) - F.size(values)).alias(f"{PREFIX}{name}_NULLS")]
+    for name, columns in ranked:
+        values = _filled(columns)
+        mean = _mean(columns)
+        deviation = F.sqrt(_sum(F.transform(values, _squared_from(mean))) / F.nullif(F.size(values), F.lit(0)))
+        out += [mean.alias(f"{PREFIX}{name}__mean"), F.array_max(values).alias(f"{PREFIX}{name}__max"), deviation.alias(f"{PREFIX}{name}__std"), (F.lit(len(columns)) - F.size(values)).alias(f"{PREFIX}{name}__nmiss")]
+        short, long = ([c for c in columns if parse(c).days and test(parse(c).days)] for test in (lambda d: min(d) <= 7, lambda d: max(d) >= 31))
+        if short and long:
+            out.append(safe_ratio(_mean(short), _mean(long)).alias(f"{PREFIX}{name}__accel"))
     return df.select(*keys, *out)
 
 
 def channel_concentration(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest channel share, active channels, Herfindahl index and entropy of a row's channel totals."""
+    """Largest share, channels of over a hundredth, Herfindahl index and entropy of a row's mean amounts by channel."""
     channels = defaultdict(list)
     for c in df.columns:
-        if c not in keys and parse(c).channel:
-            channels[parse(c).channel].append(c)
-    totals = F.array(*(_sum(F.transform(_filled(v), F.abs)) for v in channels.values()))
-    all_ = _sum(totals)
-    shares = F.transform(F.filter(totals, lambda x: x > 0), lambda x: x / all_)
-    return df.select(
-        *keys, F.coalesce(F.array_max(shares), F.lit(0.0)).alias(f"{PREFIX}MAX_SHARE"), F.size(shares).alias(f"{PREFIX}ACTIVE_CHANNELS"),
-        F.round(_sum(F.transform(shares, lambda x: x * x)), 6).alias(f"{PREFIX}HHI"), F.round(F.abs(_sum(F.transform(shares, lambda x: x * F.log(x)))), 6).alias(f"{PREFIX}ENTROPY"),
+        p = parse(c)
+        if c not in keys and p.channel and p.measure == "AMT" and p.aggregation in ("RAW", "TOT", "AVG"):
+            channels[p.channel].append(c)
+    if len(channels) < 2:
+        return df.select(*keys)
+    totals = F.array(*(F.coalesce(_mean(v), F.lit(0.0)) for v in channels.values()))
+    rows = df.select(*keys, totals.alias("_totals")).withColumn("_all", _sum(F.col("_totals")))
+    rows = rows.withColumn("_shares", F.transform("_totals", lambda x: F.when(F.abs("_all") > C.SMALL, x / F.col("_all")).otherwise(0.0)))
+    return rows.select(
+        *keys, F.array_max("_shares").alias(f"{PREFIX}channel_top_share"), F.size(F.filter("_shares", lambda x: x > C.ACTIVE_SHARE)).alias(f"{PREFIX}channel_n_active"),
+        _sum(F.transform("_shares", lambda x: x * x)).alias(f"{PREFIX}channel_hhi"), (-_sum(F.transform("_shares", lambda x: x * F.log(F.when(x > 0, x).otherwise(1.0))))).alias(f"{PREFIX}channel_entropy"),
     )
 
 
+def flow_balance(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Customer-induced share, debits over credits and net flow over all flow, of means over the columns of each kind."""
+    of = {kind: [c for c in df.columns if c not in keys and test(parse(c))] for kind, test in {
+        "ci": lambda p: p.inducer == "CI", "bi": lambda p: p.inducer == "BI", "cr": lambda p: p.direction == "CR" and p.measure == "AMT", "db": lambda p: p.direction == "DB" and p.measure == "AMT",
+    }.items()}
+    mean = {kind: F.coalesce(_mean(columns), F.lit(0.0)) for kind, columns in of.items() if columns}
+    out = []
+    if "ci" in mean and "bi" in mean:
+        out.append(safe_ratio(mean["ci"], mean["ci"] + mean["bi"]).alias(f"{PREFIX}customer_induced_share"))
+    if "cr" in mean and "db" in mean:
+        out += [safe_ratio(mean["db"], mean["cr"]).alias(f"{PREFIX}credit_debit_ratio"), safe_ratio(mean["cr"] - mean["db"], mean["cr"] + mean["db"]).alias(f"{PREFIX}net_flow_share")]
+    return df.select(*keys, *out)
+
+
 def missingness(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Nulls of a row, their share, and the share of values that aren't next to nothing."""
     columns = [c for c in df.columns if c not in keys]
-    values = _filled(columns)
-    return df.select(*keys, (F.lit(len(columns)) - F.size(values)).alias(f"{PREFIX}MISSING"), (1 - F.size(values) / len(columns)).alias(f"{PREFIX}MISSING_FRAC"), (F.size(F.filter(values, lambda x: x != 0)) / len(columns)).alias(f"{PREFIX}NONZERO_FRAC"))
+    values, n = _filled(columns), max(1, len(columns))
+    return df.select(*keys, (F.lit(len(columns)) - F.size(values)).alias(f"{PREFIX}row_nmiss"), ((F.lit(len(columns)) - F.size(values)) / n).alias(f"{PREFIX}row_nmiss_frac"), (F.size(F.filter(values, lambda x: F.abs(x) > C.SMALL)) / n).alias(f"{PREFIX}row_nonzero_frac"))
+
+
+def hygiene(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df with 0 for nulls, infinities and NaN in its fractional columns (or the given ones)."""
+    which = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double") and (columns is None or f.name in columns)]
+    return df.withColumns({c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)) for c in which})
+
+
+def engineered(columns: list[str]) -> list[str]:
+    return [c for c in columns if c.startswith(PREFIX)]

@@ -9,7 +9,7 @@ from riskgraph.plans.prelude import ACCOUNTS, LEDGER, with_
 from riskgraph.sources import ledger as S
 
 #: Steps of the SQL of the two PageRanks; the queries go on until the ranks settle, or to 40.
-STEPS = 5
+STEPS = 40
 
 
 def tables(spark, sf):
@@ -45,13 +45,17 @@ def device_components(spark, sf):
     return G.connected_components(accounts, G.shared_identifier_edges(ledger, accounts, "ip", 1.5).union(G.shared_identifier_edges(ledger, accounts, "device", 6.0)))
 
 
+def ranked(ranks):
+    return ranks.withColumn("pagerank", F.round("pagerank", 9))
+
+
 def pagerank(spark, sf):
-    return G.pagerank(S.read_accounts(spark, sf), G.flow_edges(transfers_of(spark, sf)))
+    return ranked(G.pagerank(S.read_accounts(spark, sf), G.flow_edges(transfers_of(spark, sf))))
 
 
 def reverse_pagerank(spark, sf):
     edges = G.flow_edges(transfers_of(spark, sf))
-    return G.pagerank(S.read_accounts(spark, sf), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return ranked(G.pagerank(S.read_accounts(spark, sf), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
 
 
 def clustering(spark, sf):
@@ -69,11 +73,12 @@ def neighbour_risk(spark, sf):
 
 def fanout_propagation(spark, sf):
     accounts = S.read_accounts(spark, sf)
-    return G.propagate(G.top_neighbours(graph_edges(spark, sf), 15), accounts.select("account", F.col("vintage_days").cast("double").alias("vintage"), F.col("age").cast("double").alias("age")), ["vintage", "age"])
+    out = G.propagate(G.top_neighbours(graph_edges(spark, sf), 15), accounts.select("account", F.col("vintage_days").cast("double").alias("vintage"), F.col("age").cast("double").alias("age")), ["vintage", "age"])
+    return out.select("account", *(F.round(c, 6).alias(c) for c in ("vintage", "age")))
 
 
 def flow_paths(spark, sf):
-    return G.flow_paths(transfers_of(spark, sf), S.read_accounts(spark, sf), hops=4, least_hops=1)
+    return G.flow_paths(transfers_of(spark, sf), S.read_accounts(spark, sf))
 
 
 def ego_network(spark, sf):
@@ -99,13 +104,27 @@ GRAPH = (LEDGER, ACCOUNTS, MONEY, shared("device", 6.0), shared("ip", 1.5), EDGE
 
 
 def ranks(src: str, dst: str) -> str:
-    head = with_(LEDGER, ACCOUNTS, MONEY) + f", sh AS (SELECT {src} AS src, {dst} AS dst, weight / sum(weight) OVER (PARTITION BY {src}) AS part FROM edge), r0 AS (SELECT account, 1.0::DOUBLE / count(*) OVER () AS rank FROM acc)"
+    """Power iteration step by step, each written once; a transfer's weight is log1p of its rupees."""
+    head = with_(LEDGER, ACCOUNTS, MONEY) + f""", fe AS (SELECT {src} AS src, {dst} AS dst, sum(ln(1 + paise / 100.0::DOUBLE)) AS weight FROM mon GROUP BY 1, 2), sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS part FROM fe),
+nd AS MATERIALIZED (SELECT account, account IN (SELECT src FROM sh) AS pays, count(*) OVER () AS n FROM acc), r0 AS MATERIALIZED (SELECT account, pays, n, 1.0::DOUBLE / n AS rank FROM nd)"""
     for i in range(STEPS):
-        head += f""", r{i + 1} AS (SELECT r.account, 0.15::DOUBLE / (SELECT count(*) FROM acc) + 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE account NOT IN (SELECT src FROM sh)) / (SELECT count(*) FROM acc)) AS rank
+        head += f""", r{i + 1} AS MATERIALIZED (SELECT r.account, r.pays, r.n, 0.15::DOUBLE / r.n + 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank) FILTER (NOT pays), 0) FROM r{i}) / r.n) AS rank
   FROM r{i} r LEFT JOIN (SELECT dst, sum(part * rank) AS flow FROM sh JOIN r{i} ON src = account GROUP BY 1) f ON f.dst = r.account)"""
     return head + f" SELECT account, round(rank, 9) AS pagerank FROM r{STEPS}"
 
 
+def trails_sql(hops: int = 4, seconds: int = 172800, most: int = 25) -> str:
+    """The trails hop by hop: of each the three largest ways on, which end it where there are none and are dropped where they lead back."""
+    out = with_(LEDGER, ACCOUNTS, MONEY) + """, p1 AS MATERIALIZED (SELECT src AS start, [src, dst] AS accounts, [paise] AS amounts, [ts_s] AS times, [txn_id] AS txns FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY paise DESC, ts_s, txn_id) AS k FROM mon) WHERE k <= 3)"""
+    for n in range(2, hops + 1):
+        out += f""", o{n} AS MATERIALIZED (SELECT a.*, b.dst, b.paise, b.ts_s, b.txn_id, row_number() OVER (PARTITION BY a.start, a.txns ORDER BY b.paise DESC, b.ts_s, b.txn_id) AS k FROM p{n - 1} a LEFT JOIN mon b ON a.accounts[-1] = b.src AND b.ts_s > a.times[-1] AND b.ts_s <= a.times[-1] + {seconds}),
+p{n} AS MATERIALIZED (SELECT start, list_append(accounts, dst) AS accounts, list_append(amounts, paise) AS amounts, list_append(times, ts_s) AS times, list_append(txns, txn_id) AS txns FROM o{n} WHERE dst IS NOT NULL AND k <= 3 AND NOT list_contains(accounts, dst))"""
+    ended = " UNION ALL ".join([f"SELECT start, accounts, amounts, times, txns FROM o{n} WHERE dst IS NULL" for n in range(2, hops + 1)] + [f"SELECT start, accounts, amounts, times, txns FROM p{hops}"])
+    return out + f""", u AS ({ended}), v AS (SELECT start, array_to_string(accounts, '>') AS accounts, array_to_string(txns, '>') AS txns, len(amounts) AS hops, amounts[1] AS paise, amounts[-1] AS last_paise, CAST(amounts[-1] AS DOUBLE) / greatest(amounts[1], 100) AS retention, times[-1] - times[1] AS seconds,
+  CASE WHEN len(times) > 1 THEN list_median(list_transform(range(2, len(times) + 1), lambda i: times[i] - times[i - 1])) ELSE 0 END AS median_gap FROM u)
+SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY paise DESC, txns) AS k FROM v) WHERE k <= {most}"""
+
+
 ORACLES = {
     "money_edges": with_(LEDGER, ACCOUNTS, MONEY) + "SELECT * FROM edge",
     "device_edges": with_(LEDGER, ACCOUNTS, shared("device", 6.0)) + "SELECT * FROM device_edge",
@@ -124,11 +143,7 @@ SELECT acc.account, coalesce(k, 0) AS neighbours, CAST(coalesce(t, 0) AS BIGINT)
     "neighbour_risk": with_(LEDGER, ACCOUNTS, MONEY, LINKS) + ", h AS (SELECT src AS account, avg(CAST(vintage_days % 100 AS DOUBLE)) AS r FROM lnk JOIN acc ON dst = acc.account GROUP BY 1) SELECT acc.account, coalesce(r, 0) AS neighbour_risk FROM acc LEFT JOIN h USING (account)",
     "fanout_propagation": with_(*GRAPH) + """, bw AS (SELECT src, dst, weight FROM gr UNION ALL SELECT dst, src, weight FROM gr), tp AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM bw), pt AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS part FROM tp WHERE k <= 15)
 SELECT src AS account, round(sum(part * vintage_days), 6) AS vintage, round(sum(part * age), 6) AS age FROM pt JOIN acc ON dst = account GROUP BY 1""",
-    "flow_paths": with_(LEDGER, ACCOUNTS, MONEY) + """, h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY paise DESC, ts_s, txn_id) AS k FROM mon WHERE src % 50 = 0) WHERE k <= 3),
-h2 AS (SELECT * FROM (SELECT a.src AS start, [a.src, a.dst, b.dst] AS accounts, [a.paise, b.paise] AS amounts, [a.ts_s, b.ts_s] AS times, [a.txn_id, b.txn_id] AS txns, row_number() OVER (PARTITION BY a.src, a.txn_id ORDER BY b.paise DESC, b.ts_s, b.txn_id) AS k FROM h1 a JOIN mon b ON a.dst = b.src AND b.ts_s > a.ts_s AND b.ts_s <= a.ts_s + 259200 AND b.dst NOT IN (a.src, a.dst)) WHERE k <= 3),
-h3 AS (SELECT * FROM (SELECT start, list_append(accounts, b.dst) AS accounts, list_append(amounts, b.paise) AS amounts, list_append(times, b.ts_s) AS times, list_append(a.txns, b.txn_id) AS txns, row_number() OVER (PARTITION BY start, a.txns ORDER BY b.paise DESC, b.ts_s, b.txn_id) AS k FROM h2 a JOIN mon b ON a.accounts[3] = b.src AND b.ts_s > a.times[2] AND b.ts_s <= a.times[2] + 259200 AND NOT list_contains(a.accounts, b.dst)) WHERE k <= 3),
-u AS (SELECT start, accounts, amounts, times, txns FROM h2 UNION ALL SELECT start, accounts, amounts, times, txns FROM h3)
-SELECT start, array_to_string(accounts, '>') AS accounts, len(amounts) AS hops, CAST(amounts[-1] AS DOUBLE) / amounts[1] AS retention, times[-1] - times[1] AS seconds, array_to_string(txns, '>') AS txns FROM u""",
+    "flow_paths": trails_sql(),
     "ego_network": with_(*GRAPH) + """, bw AS (SELECT src, dst, weight FROM gr UNION ALL SELECT dst, src, weight FROM gr), n1 AS (SELECT dst AS account, max(weight) AS w FROM bw WHERE src = 8 AND dst <> 8 GROUP BY 1 ORDER BY w DESC, account LIMIT 250),
 n2 AS (SELECT dst AS account, max(weight) AS w FROM bw WHERE src IN (SELECT account FROM n1) AND dst <> 8 AND dst NOT IN (SELECT account FROM n1) GROUP BY 1 ORDER BY w DESC, account LIMIT 250), s AS (SELECT 8 AS account, 0 AS hop UNION ALL SELECT account, 1 FROM n1 UNION ALL SELECT account, 2 FROM n2)
 SELECT src, dst, weight, a.hop AS src_hop, b.hop AS dst_hop FROM gr JOIN s a ON a.account = src JOIN s b ON b.account = dst""",

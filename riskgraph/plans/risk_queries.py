@@ -43,11 +43,13 @@ def rule_summary(spark, sf):
 
 
 def inline_decisions(spark, sf):
-    return rules.inline_decisions(S.read_ledger(spark, sf), standing_risk(spark, sf))
+    ledger = S.read_ledger(spark, sf).withColumn("ben_age", F.col("ben_age") / 100.0)
+    return rules.inline_decisions(ledger, standing_risk(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 def suggested_actions(spark, sf):
-    return rules.suggested_actions(standing_risk(spark, sf))
+    codes = F.array_compact(F.array(F.when(F.col("account") % 2 == 0, "FAN_IN"), F.when(F.col("account") % 3 == 0, "NCRP_TICKET")))
+    return rules.suggested_actions(standing_risk(spark, sf).select("account", "risk", codes.alias("codes"), (F.col("account") % 5 * 50_000.0).alias("amount_at_risk")))
 
 
 def risk_overview(spark, sf):
@@ -89,7 +91,7 @@ def directive_limits(spark, sf):
 
 
 def intel_features(spark, sf):
-    return intel.intel_features(S.read_accounts(spark, sf), S.read_tickets(spark, sf), S.read_indicators(spark, sf), S.read_directives(spark, sf), NOW)
+    return intel.intel_features(S.read_accounts(spark, sf).withColumn("vpa", (F.col("account") + 1).cast("string")), S.read_tickets(spark, sf), S.read_indicators(spark, sf), S.read_directives(spark, sf), NOW)
 
 
 def directive_overlay(spark, sf):
@@ -111,7 +113,7 @@ def latest_transactions(spark, sf):
 
 def audit_chain(spark, sf):
     e = S.table(spark, sf, "events")
-    return compliance.audit_chain(e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("event"), F.col("props").alias("payload")))
+    return compliance.audit_chain(e.select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.col("user_id").cast("string").alias("actor"), F.col("event_type").alias("event"), F.col("props").alias("payload")))
 
 
 def on_scores(metric):
@@ -170,10 +172,20 @@ def redact_sql(text: str, strict: bool) -> str:
 
 
 def mined_sql(kind: str) -> str:
-    found = f"list_sort(list_distinct(regexp_extract_all(html, '{X.MINED[kind].replace(chr(39), chr(39) * 2)}')))"
+    """Distinct matches of a kind in order, with the tests that payment addresses, network addresses and accounts must pass."""
+    def found(k: str) -> str:
+        return f"list_sort(list_distinct(regexp_extract_all(html, '{X.MINED[k].replace(chr(39), chr(39) * 2)}')))"
+
+    hosts = ", ".join(f"'{h}'" for h in X.MAIL_HOSTS)
+    out = found(kind)
+    vpa = f"list_filter({found('vpa')}, lambda x: lower(string_split(x, '@')[-1]) NOT IN ({hosts}) AND len(string_split(x, '@')[-1]) BETWEEN 3 AND 12)"
+    if kind == "vpa":
+        out = vpa
+    if kind == "account":
+        out = f"CASE WHEN len({found('ifsc')}) > 0 OR len({vpa}) > 0 THEN {out} ELSE [] END"
     if kind == "ipv4":
-        found = f"list_filter({found}, lambda x: len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0 AND CAST(string_split(x, '.')[1] AS INTEGER) NOT IN (0, 127, 255))"
-    return f"array_to_string({found}, ' ') AS {kind}"
+        out = f"list_filter({out}, lambda x: len(list_filter(string_split(x, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0 AND CAST(string_split(x, '.')[1] AS INTEGER) NOT IN (0, 127, 255))"
+    return f"array_to_string({out}, ' ') AS {kind}"
 
 
 def hmac_sql(text: str) -> str:
@@ -186,13 +198,14 @@ ORACLES = {
     "rule_engine": FIRED + "SELECT *, rules_fired > 0 AS alert FROM rf",
     "rule_summary": FIRED + """, x AS (SELECT account % 11 = 0 AS label, unnest([{'rule': 'R01', 'hit': R01}, {'rule': 'R02', 'hit': R02}, {'rule': 'R03', 'hit': R03}, {'rule': 'R04', 'hit': R04}, {'rule': 'R05', 'hit': R05}, {'rule': 'R06', 'hit': R06}, {'rule': 'R07', 'hit': R07}, {'rule': 'R08', 'hit': R08}, {'rule': 'alert', 'hit': rules_fired > 0}]) AS c FROM rf)
 SELECT c.rule AS rule, count(*) FILTER (c.hit) AS fired, count(*) FILTER (c.hit AND label) AS tp, count(*) FILTER (c.hit AND NOT label) AS fp, CAST(count(*) FILTER (c.hit AND label) AS DOUBLE) / greatest(count(*) FILTER (c.hit), 1) AS precision, CAST(count(*) FILTER (c.hit AND label) AS DOUBLE) / greatest(count(*) FILTER (label), 1) AS recall FROM x GROUP BY 1""",
-    "inline_decisions": with_(LEDGER, ACCOUNTS, RISK) + """, s AS (SELECT txn_id, least(greatest(coalesce(a.risk, 0) * 0.35::DOUBLE, coalesce(b.risk, 0)) + CASE WHEN ben_age < 24 AND paise >= 2500000 THEN 18 ELSE 0 END + CASE WHEN (channel IN ('ATM', 'AEPS') OR dst = -1) AND coalesce(a.risk, 0) >= 55 THEN 12 ELSE 0 END, 100.0) AS score FROM led LEFT JOIN rk a ON a.account = src LEFT JOIN rk b ON b.account = dst)
-SELECT txn_id, round(score, 6) AS score, CASE WHEN score >= 85 THEN 'BLOCK' WHEN score >= 65 THEN 'HOLD' WHEN score >= 40 THEN 'REVIEW' ELSE 'ALLOW' END AS action FROM s""",
-    "suggested_actions": with_(ACCOUNTS, RISK) + f"SELECT account, {BAND} AS band, CASE WHEN risk >= 85 THEN 'FULL_FREEZE,FILE_STR,INVESTIGATE,MONITOR' WHEN risk >= 65 THEN 'FREEZE_DEBIT,FILE_STR,INVESTIGATE,MONITOR' WHEN risk >= 40 THEN 'STEP_UP,INVESTIGATE,MONITOR' ELSE 'MONITOR' END AS actions FROM rk",
+    "inline_decisions": with_(LEDGER, ACCOUNTS, RISK) + """, s AS (SELECT txn_id, least(greatest(coalesce(a.risk, 0) * 0.35::DOUBLE, coalesce(b.risk, 0)) + CASE WHEN ben_age > 0 AND ben_age / 100.0::DOUBLE < 1 AND paise >= 2500000 THEN 18 ELSE 0 END + CASE WHEN channel IN ('ATM', 'AEPS') AND coalesce(a.risk, 0) >= 55 THEN 12 ELSE 0 END, 100.0) AS risk,
+  concat_ws(',', CASE WHEN coalesce(b.risk, 0) >= 65 THEN 'HIGH_RISK_BENEFICIARY' END, CASE WHEN ben_age > 0 AND ben_age / 100.0::DOUBLE < 1 AND paise >= 2500000 THEN 'FRESH_BENEFICIARY' END, CASE WHEN channel IN ('ATM', 'AEPS') AND coalesce(a.risk, 0) >= 55 THEN 'CASH_OUT_ATTEMPT' END) AS reasons FROM led LEFT JOIN rk a ON a.account = src LEFT JOIN rk b ON b.account = dst)
+SELECT txn_id, round(risk, 6) AS score, """ + BAND + """ AS band, CASE WHEN risk >= 85 THEN 'BLOCK' WHEN risk >= 65 THEN 'HOLD' WHEN risk >= 40 THEN 'REVIEW' ELSE 'ALLOW' END AS action, reasons FROM s""",
+    "suggested_actions": with_(ACCOUNTS, RISK) + f"SELECT account, {BAND} AS band, CASE WHEN risk >= 85 THEN 'FULL_FREEZE,REPORT_STR' WHEN risk >= 65 THEN CASE WHEN account % 5 * 50000 > 100000 OR account % 3 = 0 THEN 'FREEZE_DEBIT,REPORT_STR' ELSE 'FREEZE_DEBIT' END WHEN risk >= 40 THEN CASE WHEN account % 2 = 0 THEN 'HOLD_CREDIT' ELSE 'STEP_UP_AUTH' END ELSE 'MONITOR' END AS actions FROM rk",
     "risk_overview": with_(ACCOUNTS, RISK) + f"SELECT {BAND} AS band, count(*) AS accounts, round(avg(risk), 6) AS mean_risk FROM rk GROUP BY 1",
     "kill_switch": with_(ACCOUNTS) + """, r AS (SELECT account, CAST(vintage_days % 101 AS DOUBLE) AS risk, ['FULL_FREEZE', 'FREEZE_DEBIT', 'STEP_UP'][account % 3 + 1] AS proposed, account % 7 = 0 AS protected, CAST((account % 100 >= 50)::INT + (account % 70 >= 35)::INT + (account % 50 >= 25)::INT + (account % 30 >= 15)::INT AS INTEGER) AS layers FROM acc),
 f AS (SELECT *, list_filter([CASE WHEN proposed <> 'STEP_UP' AND protected THEN 'PROTECTED' END, CASE WHEN proposed = 'FULL_FREEZE' AND risk < 85 THEN 'BELOW_FLOOR' END, CASE WHEN proposed <> 'STEP_UP' AND layers < 2 THEN 'UNCORROBORATED' END], lambda x: x IS NOT NULL) AS why FROM r)
-SELECT account, layers, coalesce(array_to_string(why, ','), '') AS refusals, CASE WHEN len(why) > 0 THEN 'MONITOR' ELSE proposed END AS action FROM f""",
+SELECT account, layers, coalesce(array_to_string(why, ','), '') AS refusals, CASE WHEN len(why) > 0 THEN CASE WHEN risk >= 65 THEN 'HOLD_CREDIT' ELSE 'MONITOR' END ELSE proposed END AS action FROM f""",
     "ticket_dedup": with_(TICKETS) + "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY arrival DESC) AS k FROM tik) WHERE k = 1",
     "hard_tickets": with_(TICKETS) + "SELECT * FROM tik WHERE category IN ('UPI_FRAUD', 'OTP_FRAUD')",
     "ticket_lookback": with_(TICKETS) + "SELECT ticket_id, arrival, ts_s, paise FROM tik WHERE beneficiary = 8 AND ts_s BETWEEN 1706000000 - 259200 AND 1706000000",
@@ -201,8 +214,8 @@ SELECT account, layers, coalesce(array_to_string(why, ','), '') AS refusals, CAS
     "listed_accounts": with_(DIRECTIVES) + NAMED.format("LISTED"),
     "directive_limits": with_(DIRECTIVES) + """, v AS (SELECT unnest(json_keys(payload)) AS key, payload, ts_s, feed_id FROM dir WHERE kind = 'VELOCITY_LIMIT'), w AS (SELECT key AS "limit", TRY_CAST(json_extract_string(payload, key) AS DOUBLE) AS value, ts_s, feed_id FROM v),
 f AS (SELECT "limit", arg_max(value, (ts_s, feed_id)) AS value FROM w WHERE value IS NOT NULL GROUP BY 1) SELECT * FROM f UNION ALL SELECT 'per_day', 100000.0::DOUBLE WHERE 'per_day' NOT IN (SELECT "limit" FROM f)""",
-    "intel_features": with_(ACCOUNTS, TICKETS, INDICATORS, DIRECTIVES) + f""", t AS (SELECT beneficiary AS account, count(*) AS n, CAST(sum(paise) AS BIGINT) AS p, max(ts_s) AS last, count(DISTINCT victim) AS v FROM tik WHERE ts_s <= {NOW} GROUP BY 1), h AS (SELECT TRY_CAST(value AS BIGINT) AS account, max(confidence) AS c FROM ioc WHERE kind = 'ACCOUNT' AND ts_s <= {NOW} GROUP BY 1),
-l AS (SELECT DISTINCT CAST(unnest(string_split(entities, ',')) AS BIGINT) AS account FROM dir WHERE kind IN ('LISTED', 'SANCTION') AND ts_s <= {NOW})
+    "intel_features": with_(ACCOUNTS, TICKETS, INDICATORS, DIRECTIVES) + f""", t AS (SELECT beneficiary AS account, count(*) AS n, CAST(sum(paise) AS BIGINT) AS p, max(ts_s) AS last, count(DISTINCT victim) AS v FROM tik WHERE ts_s <= {NOW} GROUP BY 1), h AS (SELECT TRY_CAST(value AS BIGINT) - CASE kind WHEN 'VPA' THEN 1 ELSE 0 END AS account, max(confidence) AS c FROM ioc WHERE kind IN ('ACCOUNT', 'VPA') AND ts_s <= {NOW} GROUP BY 1),
+l AS (SELECT DISTINCT CAST(unnest(string_split(entities, ',')) AS BIGINT) AS account FROM dir WHERE kind = 'LISTED' AND ts_s <= {NOW})
 SELECT acc.account, coalesce(n, 0) AS tickets, coalesce(p, 0) AS ticket_paise, CASE WHEN last IS NULL THEN 999 ELSE least(greatest(({NOW} - last) / 86400.0::DOUBLE, 0), 999) END AS ticket_recency, coalesce(v, 0) AS victims, (c IS NOT NULL)::INT AS ioc_hit, coalesce(c, 0) AS ioc_confidence, (c IS NOT NULL)::INT AS preemptive, (l.account IS NOT NULL)::INT AS listed,
   coalesce(n, 0) > 0 OR c IS NOT NULL OR l.account IS NOT NULL AS has_intelligence FROM acc LEFT JOIN t USING (account) LEFT JOIN h USING (account) LEFT JOIN l ON l.account = acc.account""",
     "directive_overlay": with_(LEDGER, ACCOUNTS, RISK, DIRECTIVES) + f""", l AS ({NAMED.format("LISTED")}), s AS ({NAMED.format("SANCTION")}), u AS (SELECT DISTINCT src AS account, device FROM led WHERE device IS NOT NULL AND src IN (SELECT account FROM acc)), few AS (SELECT device FROM u GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25),
@@ -211,8 +224,10 @@ SELECT account, CASE WHEN account IN (SELECT account FROM s) THEN 100 WHEN accou
     "ctr_candidates": with_(LEDGER) + "SELECT src AS account, ts_s // 86400 AS day, CAST(sum(paise) AS BIGINT) AS paise, count(*) AS n FROM led WHERE channel IN ('ATM', 'AEPS') GROUP BY 1, 2 HAVING sum(paise) >= 10000000",
     "exposure_7d": with_(LEDGER, ACCOUNTS, EVENTS) + f"SELECT account, CAST(greatest(sum(paise * dir), 0) AS BIGINT) AS exposure_paise FROM ev WHERE ts_s > {LEDGER_NOW - 604800} AND ts_s <= {LEDGER_NOW} GROUP BY 1",
     "latest_transactions": with_(LEDGER) + "SELECT src AS account, txn_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY src ORDER BY ts_s DESC, txn_id) AS INTEGER) AS place FROM led) WHERE place <= 50",
-    "audit_chain": """WITH a AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS actor, event_type AS event, sha256(props) AS payload_digest FROM events), b AS (SELECT *, sha256(concat_ws('|', seq, actor, event, payload_digest)) AS body FROM a), c AS (SELECT *, lag(body, 1, repeat('0', 64)) OVER (ORDER BY seq) AS prev_hash FROM b)
-SELECT seq, actor, event, payload_digest, prev_hash, sha256(prev_hash || '|' || body) AS entry_hash FROM c""",
+    "audit_chain": """WITH RECURSIVE a AS MATERIALIZED (SELECT event_id AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "at", CAST(user_id AS VARCHAR) AS actor, event_type AS event, sha256(props) AS payload_digest, row_number() OVER (ORDER BY event_id) AS n FROM events),
+c AS (SELECT seq, "at", actor, event, payload_digest, n, repeat('0', 64) AS prev_hash, sha256(concat_ws('|', seq, "at", actor, event, payload_digest, repeat('0', 64))) AS entry_hash FROM a WHERE n = 1
+  UNION ALL SELECT a.seq, a."at", a.actor, a.event, a.payload_digest, a.n, c.entry_hash, sha256(concat_ws('|', a.seq, a."at", a.actor, a.event, a.payload_digest, c.entry_hash)) FROM c JOIN a ON a.n = c.n + 1)
+SELECT seq, "at", actor, event, payload_digest, prev_hash, entry_hash FROM c""",
     "pii_redaction": f"SELECT doc_id, {redact_sql('text', False)} AS redacted FROM documents",
     "pii_redaction_strict": f"SELECT conv_id, turn, {redact_sql('text', True)} AS redacted FROM conversations",
     "keyed_tokens": f"SELECT c_custkey AS account, {hmac_sql('c_name')} AS token FROM customer",

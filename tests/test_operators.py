@@ -88,7 +88,7 @@ def test_pagerank_sums_to_one(passthrough, accounts):
 
 def test_paths_respect_time(passthrough, accounts):
     paths = graph.flow_paths(graph.money(passthrough, accounts), accounts).collect()
-    assert [(p.accounts, p.hops, p.seconds) for p in paths] == [("1>2>3", 2, 600)]
+    assert sorted((p.accounts, p.hops, p.seconds) for p in paths) == [("1>2>3", 2, 600), ("2>3", 1, 0)]
 
 
 def test_directives_floor_and_neighbours(spark):
@@ -143,7 +143,7 @@ def test_alignment_reports_drift(spark):
 
 
 def test_audit_chain_finds_tampering(spark):
-    entries = spark.createDataFrame([(i, "a", "e", f"p{i}") for i in range(1, 6)], "seq long, actor string, event string, payload string")
+    entries = spark.createDataFrame([(i, f"t{i}", "a", "e", f"p{i}") for i in range(1, 6)], "seq long, at string, actor string, event string, payload string")
     stored = compliance.audit_chain(entries)
     assert compliance.verify_chain(stored, entries).count() == 0
     changed = entries.withColumn("payload", F.when(F.col("seq") == 3, "other").otherwise(F.col("payload")))
@@ -174,6 +174,71 @@ def test_cases_are_added_once(spark):
     assert first.count() == 2 and cases.new_cases(first, alerts).count() == 0
 
 
+def test_cases_change_by_the_book(spark):
+    events = spark.createDataFrame([(1, 1, "OPEN", "x"), (2, 2, "CONFIRMED", "x"), (3, 3, "ASSIGNED", "x")], "alert_id long, seq long, status string, actor string")
+    asked = [(1, 10, "ASSIGNED", "a", None), (1, 11, "CONFIRMED", "a", None), (2, 12, "OPEN", "a", None), (3, 13, None, "a", "call back"), (9, 14, "OPEN", "a", None)]
+    added, refused = cases.apply_changes(events, spark.createDataFrame(asked, "alert_id long, seq long, status string, actor string, note string"))
+    assert sorted((r.alert_id, r.status, r.status_before) for r in added.collect()) == [(1, "ASSIGNED", "OPEN"), (3, "ASSIGNED", "ASSIGNED")]
+    assert sorted(r.seq for r in refused.collect()) == [11, 12, 14]
+
+
+def test_a_log_is_read_back(spark, tmp_path):
+    entries = spark.createDataFrame([(i, f"t{i}", "a", "e", f"p{i}") for i in range(5)], "seq long, at string, actor string, event string, payload string")
+    stored = compliance.audit_chain(entries)
+    compliance.append_log(stored.where("seq < 3"), str(tmp_path / "log"))
+    compliance.append_log(stored.where("seq >= 3"), str(tmp_path / "log"))
+    again = compliance.reload_log(spark, str(tmp_path / "log"), "seq long, at string, actor string, event string, payload_digest string, prev_hash string, entry_hash string")
+    assert compliance.verify_chain(again, entries).count() == 0
+    head = compliance.chain_head(again).first()
+    assert head.entries == 5 and head["head"] == stored.where("seq = 4").first().entry_hash
+    assert [r.seq for r in compliance.chain_tail(again, 2).collect()] == [4, 3] and compliance.chain_head(again.limit(0)).first()["head"] == "0" * 64
+
+
+def test_payloads_digest_alike_whatever_their_order(spark):
+    one = spark.sql("select 1L seq, 't' at, 'a' actor, 'e' event, named_struct('b', 2, 'a', 1) payload")
+    two = spark.sql("select 1L seq, 't' at, 'a' actor, 'e' event, named_struct('a', 1, 'b', 2) payload")
+    assert compliance.bodies(one).first().body == compliance.bodies(two).first().body
+    assert compliance.bodies(spark.sql("select 1L seq, 't' at, 'a' actor, 'e' event, map('b', 2, 'a', 1) payload")).first().payload_digest == compliance.bodies(one).first().payload_digest
+
+
+def test_intelligence_layer_and_model_files(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.createDataFrame([(i, int(i % 5 == 0), float(i % 5 == 0) * 3 + i % 2, i % 5 != 4, "train") for i in range(100)], "account long, label int, tickets double, has_intelligence boolean, fold string")
+    told = {r.account: r.intel for r in models.intel_layer(rows, ["tickets"])(rows).collect()}
+    assert told[4] == 0.0 and told[0] > 0.5 > told[1] and models.intel_layer(rows.where("label = 0"), ["tickets"])(rows).where("intel > 0").count() == 0
+    vectors = VectorAssembler(inputCols=["tickets"], outputCol="features").transform(rows)
+    model = LogisticRegression().fit(vectors)
+    models.save(model, str(tmp_path / "m"))
+    assert LogisticRegressionModel.load(str(tmp_path / "m")).coefficients == model.coefficients
+
+
+def test_narratives_and_filings(spark):
+    from riskgraph.operators import explain
+
+    reasons = spark.createDataFrame([(1, "cashout_ratio", 0.9, 0.95), (1, "night_frac", 0.05, 0.4), (1, "unknown", 9.0, 1.0), (2, "night_frac", -1.0, 0.2)], "account long, feature string, contribution double, value double")
+    known = spark.createDataFrame([(1, 0.6, 4, "R1", 500_000), (2, 0.2, None, None, None)], "account long, graph double, ring_size long, ring_id string, ring_paise long")
+    found = explain.evidence(known, reasons)
+    assert {r.account: [(e.code, e.severity) for e in r.evidence] for r in found.collect()} == {1: [("CASH_OUT", "HIGH"), ("RING_MEMBERSHIP", "HIGH"), ("OFF_HOURS", "INFO")], 2: []}
+    rows = found.join(known, "account").withColumn("risk", F.when(F.col("account") == 1, 91.0).otherwise(10.0))
+    said = {r.account: r.narrative for r in explain.narrative(rows).collect()}
+    assert "95%" in said[1] and "R1" in said[1] and "CRITICAL" in said[1] and "No indicator" in said[2]
+    ledger = spark.createDataFrame([("t1", 5, 1, 7, 100, "UPI"), ("t2", 6, 8, 1, 50, "UPI"), ("t3", 7, 8, 9, 1, "UPI")], "txn_id string, ts_s long, src long, dst long, paise long, channel string")
+    alerts = rows.where("account = 1").join(explain.narrative(rows), "account")
+    filed = explain.filings(alerts, ledger, 1000).first()
+    import json
+
+    report = json.loads(filed.report)
+    assert filed.due_s == 1000 + 7 * 86400 and report["transactions"]["count"] == 2 and [t["direction"] for t in report["transactions"]["detail"]] == ["CREDIT", "DEBIT"]
+
+
+def test_folds_share_positives(spark):
+    rows = spark.range(2000).select(F.col("id").alias("account"), (F.col("id") % 50 == 0).cast("int").alias("label"))
+    sizes = {r.fold: r.n for r in models.folds(rows).where("label = 1").groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {"train": 20, "val": 6, "fuse": 6, "test": 8} and models.folds(rows).count() == 2000
+
+
 def test_actions_expire_and_revert(spark):
     log = spark.createDataFrame([(1, 1, 0, 100, "FREEZE_DEBIT"), (2, 2, 0, None, "FULL_FREEZE"), (3, 3, 0, 10, "STEP_UP"), (2, 4, 5, None, "REVERT"), (4, 5, 0, None, "MONITOR")], "account long, seq long, taken_at long, ttl long, action string")
     assert {r.account for r in cases.active_actions(log, 50).collect()} == {1}
@@ -201,7 +266,23 @@ def test_package_triage(spark):
     files = spark.createDataFrame([("a.apk", bytearray(buffer.getvalue())), ("b.apk", bytearray(b"not a zip"))], "path string, content binary")
     got = {r.path: r for r in shield.score(shield.triage(files)).collect()}
     assert got["a.apk"].package == "com.evil.app" and got["a.apk"].vpas == ["mule99@ybl"] and got["a.apk"].ips == ["1.2.3.4", "10.0.0.1"]
-    assert got["a.apk"].score == 8 + 8 + 14 + 4 + 4 and got["b.apk"].error
+    # RECEIVE_SMS, overlay, both together, one payment address, two addresses, no signature
+    assert got["a.apk"].score == 8 + 8 + 14 + (6 + 2) + 4 + 6 and got["a.apk"].verdict == "MEDIUM" and got["b.apk"].error and got["b.apk"].score == 0
+    told = {(r.kind, r.value): (r.confidence, r.family) for r in shield.indicators(shield.score(shield.triage(files))).collect()}
+    assert told[("UPI_VPA", "mule99@ybl")] == (0.72 + 0.06 + 0.03, "OverlayPhish.UPI") and told[("IP", "1.2.3.4")][0] == 0.59
+    assert {k for k, _ in told} == {"UPI_VPA", "IP", "URL", "SHA256"}
+
+
+def test_accounts_need_a_bank_beside_them(spark):
+    rows = spark.createDataFrame([("pay 12345678901 at HDFC0ABCDEF",), ("order 12345678901",), ("mail a.person@gmail to 12345678901",), ("me.too@okaxis 123456789012",)], "x string")
+    assert [r[0] for r in rows.select(text.mine(F.col("x"), "account")).collect()] == [["12345678901"], [], [], ["123456789012"]]
+    assert [r[0] for r in rows.select(text.mine(F.col("x"), "vpa")).collect()] == [[], [], [], ["me.too@okaxis"]]
+
+
+def test_families_keep_what_tells_them_apart():
+    names = ["AVG_CASH_CR_AMT_L7D", "AVG_MM_CASH_CR_AMT_L7D", "AVG_CASH_CR_AMT_7D_OCC", "AVG_CI_CASH_CR_AMT_L7D", "AVG_CASH_CR_AMT_L31D"]
+    assert [grammar.parse(n).family for n in names] == ["AVG_CASH_CR_AMT", "AVG_MM_CASH_CR_AMT", "AVG_CASH_CR_AMT_OCC", "AVG_CI_CASH_CR_AMT", "AVG_CASH_CR_AMT"]
+    assert len(wide.families(names)["AVG_CASH_CR_AMT"]) == 2
 
 
 def test_read_any(spark, tmp_path):

@@ -7,13 +7,15 @@ import io
 import math
 import random
 import re
+import statistics
 import zipfile
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import pytest
 
-from riskgraph.operators import compliance, metrics, rings, shield
+from riskgraph.operators import compliance, graph, metrics, rings, shield
 from riskgraph.plans import graph_queries, model_queries
 
 ACCOUNTS = "account long, kyc string, vintage_days long, age long, merchant boolean"
@@ -39,24 +41,40 @@ def small_world(spark, transfers, monkeypatch):
     monkeypatch.setattr(graph_queries, "transfers_of", lambda *_: spark.createDataFrame(transfers, TRANSFERS))
 
 
-def trails(transfers, hops=4, seconds=72 * 3600, fan_out=3):
-    """txns of every trail, walked depth first."""
-    out, stack = set(), [(a, (a,), None, ()) for a in range(1, 23)]
+def trails(transfers, hops=4, seconds=48 * 3600, fan_out=3):
+    """txns and gaps of every trail that ends, walked depth first."""
+    out, stack = {}, [(a, (a,), None, (), ()) for a in range(1, 23)]
     while stack:
-        at, seen, when, txns = stack.pop()
-        if txns:
-            out.add(">".join(txns))
-        if len(txns) < hops:
-            on = [t for t in transfers if t[0] == at and t[1] not in seen and (when is None or when < t[3] <= when + seconds)]
-            for t in sorted(on, key=lambda t: (-t[2], t[3], t[4]))[:fan_out]:
-                stack.append((t[1], (*seen, t[1]), t[3], (*txns, t[4])))
+        at, seen, when, txns, gaps = stack.pop()
+        on = [t for t in transfers if t[0] == at and (when is None or when < t[3] <= when + seconds)] if len(txns) < hops else []
+        if not on and txns:
+            out[">".join(txns)] = statistics.median(gaps) if gaps else 0.0
+        for t in sorted(on, key=lambda t: (-t[2], t[3], t[4]))[:fan_out]:
+            if t[1] not in seen:
+                stack.append((t[1], (*seen, t[1]), t[3], (*txns, t[4]), (*gaps, t[3] - when) if when is not None else ()))
     return out
 
 
 def test_flow_paths_from_every_account(spark, small_world, transfers):
-    got = graph_queries.flow_paths(spark, "").collect()
+    starts, moved = spark.range(1, 23).withColumnRenamed("id", "account"), spark.createDataFrame(transfers, TRANSFERS)
+    got = graph.flow_paths(moved, starts, most=None).collect()
     assert {r.hops for r in got} == {1, 2, 3, 4} and {r.start for r in got} == {t[0] for t in transfers}
-    assert sorted(r.txns for r in got) == sorted(trails(transfers))
+    assert {r.txns: r.median_gap for r in got} == trails(transfers)
+    # a report has the largest 25 of a start
+    by_start, capped = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_start[r.start].append((-r.paise, r.txns))
+    for r in graph_queries.flow_paths(spark, "").collect():
+        capped[r.start].append((-r.paise, r.txns))
+    assert {k: sorted(v) for k, v in capped.items()} == {k: sorted(v)[:25] for k, v in by_start.items()}
+
+
+def test_flows_backward(spark, transfers):
+    """Where money came from: the same as forward, with parties and time turned round."""
+    turned = [(d, s, p, 2_000_000 - t, i) for s, d, p, t, i in transfers]
+    moved = spark.createDataFrame(transfers, TRANSFERS)
+    got = graph.flow_paths(moved, spark.range(1, 23).withColumnRenamed("id", "account"), most=None, backward=True).collect()
+    assert {r.txns: r.median_gap for r in got} == trails(turned)
 
 
 def ranks(edges: list[tuple[int, int, int]], nodes: int = 22, steps: int = 40) -> dict[int, float]:
@@ -122,9 +140,24 @@ def test_planted_rings(spark):
     risk = [(a, 60.0 + a % 7) for a in range(120)] + [(a, 60.0 if a < 203 else 5.0) for a in range(200, 206)]
     found = rings.detect_rings(spark.createDataFrame(edges, "src long, dst long, weight double, kind string"), spark.createDataFrame(risk, "account long, risk double"))
     got = {r.members: r for r in found.collect()}
-    assert set(got) == {f"{3 * k},{3 * k + 1},{3 * k + 2}" for k in range(40)} | {"200,201,202,203,204,205"}
-    mixed = got["200,201,202,203,204,205"]
-    assert (mixed.size, mixed.flagged, mixed.mean_risk) == (6, 3, 60.0)
+    assert set(got) == {f"{3 * k},{3 * k + 1},{3 * k + 2}" for k in range(40)} | {"200,201,202"}
+    mixed = got["200,201,202"]
+    assert (mixed.size, mixed.associated, mixed.mean_risk, mixed.max_risk, mixed.density, mixed.typology) == (3, "203,204,205", 60.0, 60.0, 1.0, "MULE_CLUSTER")
+    assert {r.account: r.ring for r in rings.ring_of(found).collect()}[202] == mixed.ring
+
+
+def test_what_a_ring_moves(spark):
+    """A star of six: one collects from four and passes it on to one outside, and two of them share a device."""
+    edges = [(0, i, 5.0, "MONEY") for i in range(1, 6)]
+    risk = [(a, 80.0) for a in range(6)] + [(50, 1.0)]
+    moved = [(i, 0, 1000 * i, 10 + i, f"t{i}") for i in range(1, 5)] + [(0, 5, 100, 20, "t5"), (0, 50, 9000, 21, "t6")]
+    used = [(1, "d1"), (2, "d1"), (3, "d3"), (1, "d1")]
+    edge_frame, risk_frame, moved_frame = (spark.createDataFrame(rows, schema) for rows, schema in ((edges, "src long, dst long, weight double, kind string"), (risk, "account long, risk double"), (moved, TRANSFERS)))
+    found = rings.detect_rings(edge_frame, risk_frame, moved_frame, spark.createDataFrame(used, "account long, device string"), resolution=0.5).collect()
+    assert [(r.size, r.paise, r.shared_devices, r.typology) for r in found] == [(6, 10_100, "d1", "DEVICE_FARM")]
+    assert found[0].collectors.split(",")[0] == "0" and found[0].cashouts.split(",") == ["4", "3", "2"]
+    without = rings.detect_rings(edge_frame, risk_frame, moved_frame, resolution=0.5).collect()
+    assert [r.typology for r in without] == ["FAN_IN_AGGREGATION"]
 
 
 @pytest.mark.parametrize("rows_per_range", [4, 1_000_000])
@@ -132,10 +165,10 @@ def test_audit_chain_over_gaps(spark, rows_per_range):
     """Every entry commits to all before it, whatever seq skips, and across ranges."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     seqs = [1, 2, 5, 6, 9, 20, 21, 22, 40, 41, 77]
-    entries = spark.createDataFrame([(i, "a", "e", f"p{i}") for i in reversed(seqs)], "seq long, actor string, event string, payload string")
+    entries = spark.createDataFrame([(i, f"t{i}", "a", "e", f"p{i}") for i in reversed(seqs)], "seq long, at string, actor string, event string, payload string")
     want, last = {}, "0" * 64
     for i in seqs:
-        want[i] = (last, last := sha(f"{last}|{sha(f'{i}|a|e|{sha(f'p{i}')}')}"))
+        want[i] = (last, last := sha(f"{i}|t{i}|a|e|{sha(f'p{i}')}|{last}"))
     stored = compliance.audit_chain(entries, rows_per_range=rows_per_range)
     assert {r.seq: (r.prev_hash, r.entry_hash) for r in stored.collect()} == want
     assert compliance.verify_chain(stored, entries).count() == 0
@@ -156,10 +189,11 @@ def test_large_dex_is_scanned():
 @pytest.mark.parametrize("window", [1, 700, 1500, 5000])
 def test_windows_find_what_one_scan_finds(window):
     draw = random.Random(window)
-    said = ["mule.{}@okbank", "http://h{}.example/a?b=" + "c" * 190, "10.{}.3.4", "x" * 90 + "{}@ybl", "\0", " ", "-", "@", "é", "{}.1.2.3.4.5"]
+    said = ["mule.{}@okbank", "http://h{}.example/a?b=" + "c" * 190, "10.{}.3.4", "x" * 90 + "{}@ybl", "\0", " ", "-", "@", "é", "{}.1.2.3.4.5", "Lcom/a{};", "La;"]
     data = "".join(draw.choice(said).format(draw.randrange(256)) + draw.choice(["", " ", "\0"]) for _ in range(600)).encode("latin-1")
-    found = {kind: set() for kind in shield.PATTERNS}
-    shield.mine(io.BytesIO(data), found, window)
+    found, names = {kind: set() for kind in shield.PATTERNS}, Counter()
+    shield.mine(io.BytesIO(data), found, window, names)
+    assert names["all"] == len(re.findall(shield.NAME, data.decode("latin-1"))) > 0
     assert found == {kind: set(re.findall(p, data.decode("latin-1"))) for kind, p in shield.PATTERNS.items()}
 
 
