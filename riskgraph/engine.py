@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.operators import compliance, features, graph, intel, models, rings, rules
+from riskgraph import scoring
+from riskgraph.operators import attribution, compliance, explain, features, graph, intel, models, rings, rules
 
 
 class RiskEngine:
@@ -14,10 +15,13 @@ class RiskEngine:
     def __init__(self, ledger: DataFrame, accounts: DataFrame, tickets: DataFrame | None = None, indicators: DataFrame | None = None, directives: DataFrame | None = None) -> None:
         self.ledger, self.accounts = ledger, accounts
         self.tickets, self.indicators, self.directives = tickets, indicators, directives
+        self.scorer: scoring.Scorer | None = None
 
     def ingest(self, transactions: DataFrame) -> RiskEngine:
         """An engine over the ledger with the new transactions, each txn_id once."""
-        return RiskEngine(self.ledger.unionByName(transactions).dropDuplicates(["txn_id"]), self.accounts, self.tickets, self.indicators, self.directives)
+        out = RiskEngine(self.ledger.unionByName(transactions).dropDuplicates(["txn_id"]), self.accounts, self.tickets, self.indicators, self.directives)
+        out.scorer = self.scorer
+        return out
 
     def build_features(self, as_of: int | None = None) -> DataFrame:
         return features.behaviour(self.ledger, self.accounts, as_of)
@@ -36,14 +40,56 @@ class RiskEngine:
             out = out.join(part, "account")
         return out
 
-    def score_all(self, as_of: int | None = None) -> DataFrame:
-        """account, risk (0 to 100) and band from the rules, spread over what rules can give at most, and directives."""
+    def inputs(self, as_of: int | None = None) -> dict[str, DataFrame]:
+        return scoring.layer_inputs(self.ledger, self.accounts, self.tickets, self.indicators, self.directives, as_of)
+
+    def train(self, truth: DataFrame, trees: int = 150) -> RiskEngine:
+        """This engine with layers and fusion fitted to truth (account, label)."""
+        self.scorer = scoring.fit(self.inputs(), truth, trees)
+        return self
+
+    def save(self, path: str) -> None:
+        if self.scorer is None:
+            raise ValueError("nothing is trained yet")
+        self.scorer.save(path)
+
+    def load(self, path: str) -> RiskEngine:
+        self.scorer = scoring.Scorer.load(path)
+        return self
+
+    def rule_scores(self, as_of: int | None = None) -> DataFrame:
+        """account, risk (0 to 100) from the rules alone, spread over what rules can give at most."""
         fired = rules.rule_engine(self.build_features(as_of))
-        most = sum(rules.C.RULE_WEIGHTS.values())
-        risk = fired.select("account", models.warp(F.col("rule_score") / most).alias("risk"))
+        return fired.select("account", models.warp(F.col("rule_score") / sum(rules.C.RULE_WEIGHTS.values())).alias("risk"))
+
+    def score_all(self, as_of: int | None = None) -> DataFrame:
+        """account, the layers' scores, prob, risk (0 to 100, directives in force applied) and band; by the rules alone, without
+        layers, where nothing is trained or loaded."""
+        if self.scorer is None:
+            risk, more = self.rule_scores(as_of), None
+        else:
+            more = graph.settled(self.scorer.layer_scores(self.inputs(as_of)))
+            fused = self.scorer.fused(more)
+            risk, more = fused.select("account", "risk"), more.join(fused.select("account", "prob"), "account")
         if self.directives is not None:
-            risk = intel.apply_directives(risk, self.directives, graph.shared_identifier_edges(self.ledger, self.accounts, "device", 1.0))
-        return risk.withColumn("band", rules.band(F.col("risk")))
+            directives = self.directives if as_of is None else self.directives.where(F.col("ts_s") <= as_of)
+            risk = intel.apply_directives(risk, directives, graph.shared_identifier_edges(features.as_of(self.ledger, as_of), self.accounts, "device", 1.0))
+        out = risk if more is None else more.join(risk, "account")
+        return out.withColumn("band", rules.band(F.col("risk")))
+
+    def explain(self, scores: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+        """account, risk, evidence and narrative of accounts (all of scores if None), by the trees' exact attributions and the
+        other layers' scores. scores: from score_all() of a trained engine."""
+        if self.scorer is None or "xgb" not in self.scorer.layers:
+            raise ValueError("explanations need a trained engine")
+        chosen = scores if accounts is None else scores.join(accounts.select("account"), "account", "left_semi")
+        assembler, trees = self.scorer.layers["xgb"].stages
+        inputs = self.inputs()
+        rows = inputs["xgb"].join(chosen.select("account"), "account", "left_semi")
+        told = attribution.attributions(rows, trees, assembler.getInputCols())
+        known = chosen.select("account", "graph", "temporal").join(inputs["intel"].select("account", "tickets", "ticket_paise", "ioc_hit", "ioc_confidence", "listed"), "account")
+        out = chosen.select("account", "risk").join(explain.evidence(known, explain.top_reasons(told)), "account")
+        return out.join(explain.narrative(out), "account")
 
     def generate_alerts(self, threshold: float = 40.0, limit: int = 200) -> DataFrame:
         """The riskiest accounts over the threshold with the rules they fired, exposure and suggested actions."""

@@ -9,13 +9,12 @@ from riskgraph import config as C
 from riskgraph.functions.text import redact
 from riskgraph.operators.rules import band
 
-# Features that give a reason, with its code and how the value is written (a share, a ratio or a number).
+# The codes of reasons. Each is given by a feature, whose value is written as a share, a ratio or a number.
 REASONS = {
-    "rapid_passthrough_ratio": ("PASS_THROUGH", "pct"), "passthrough_ratio": ("FULL_DRAIN", "ratio"), "cashout_ratio": ("CASH_OUT", "pct"), "unique_payers": ("FAN_IN", "number"), "fan_in_ratio": ("FAN_IN_RATIO", "ratio"),
-    "burst_max_30min": ("VELOCITY_BURST", "number"), "structuring_frac": ("STRUCTURING", "pct"), "dormancy_burst_score": ("DORMANT_BURST", "number"), "silence_before_first_days": ("LONG_DORMANCY", "number"),
-    "device_max_accounts": ("DEVICE_FARM", "number"), "ip_max_accounts": ("SHARED_IP", "number"), "new_beneficiary_frac": ("FRESH_BENEFICIARY", "pct"), "first_time_payer_frac": ("FIRST_TIME_PAYERS", "pct"),
-    "night_frac": ("OFF_HOURS", "pct"), "kyc_min_flag": ("WEAK_KYC", "number"), "account_vintage_days": ("NEW_ACCOUNT", "number"), "median_in_to_out_min": ("FAST_FORWARD", "number"), "amount_cv_out": ("UNIFORM_AMOUNTS", "ratio"),
-    "payee_concentration": ("SINGLE_PAYEE", "pct"), "reciprocity": ("ONE_WAY", "pct"), "unique_payer_per_day": ("PAYER_RATE", "ratio"), "frac_atm_aeps": ("CASH_CHANNEL", "pct"), "max_amount_1h": ("HOUR_VALUE", "number"),
+    "rapid_passthrough": ("PASS_THROUGH", "pct"), "passthrough": ("FULL_DRAIN", "ratio"), "cashout": ("CASH_OUT", "pct"), "payers": ("FAN_IN", "number"), "fan_in": ("FAN_IN_RATIO", "ratio"), "burst_max_30min": ("VELOCITY_BURST", "number"),
+    "structuring_frac": ("STRUCTURING", "pct"), "dormancy": ("DORMANT_BURST", "number"), "silence_days": ("LONG_DORMANCY", "number"), "device_max_accounts": ("DEVICE_FARM", "number"), "ip_max_accounts": ("SHARED_IP", "number"),
+    "new_beneficiary_frac": ("FRESH_BENEFICIARY", "pct"), "first_time_payer_frac": ("FIRST_TIME_PAYERS", "pct"), "night_frac": ("OFF_HOURS", "pct"), "kyc_min": ("WEAK_KYC", "number"), "vintage_days": ("NEW_ACCOUNT", "number"),
+    "median_delay": ("FAST_FORWARD", "number"), "cv_out": ("UNIFORM_AMOUNTS", "ratio"), "payee_concentration": ("SINGLE_PAYEE", "pct"), "reciprocity": ("ONE_WAY", "pct"), "frac_atm_aeps": ("CASH_CHANNEL", "pct"), "max_paise_1h": ("HOUR_VALUE", "number"),
 }
 SEVERITIES = ((0.8, "HIGH"), (0.3, "MEDIUM"), (0.08, "LOW"))
 RANKS = {"HIGH": 0, "MEDIUM": 1, "LOW": 2, "INFO": 3}

@@ -173,7 +173,7 @@ def attributions(spark, sf):
     return a.select("account", cells.alias("x")).select("account", "x.*")
 
 
-WHY = ("rapid_passthrough_ratio", "cashout_ratio", "unique_payers", "burst_max_30min", "night_frac", "amount_cv_out", "not_in_the_catalogue")
+WHY = ("rapid_passthrough", "cashout", "payers", "burst_max_30min", "night_frac", "cv_out", "not_in_the_catalogue")
 
 
 def top_reasons(spark, sf):

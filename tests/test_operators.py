@@ -217,7 +217,7 @@ def test_intelligence_layer_and_model_files(spark, tmp_path):
 def test_narratives_and_filings(spark):
     from riskgraph.operators import explain
 
-    reasons = spark.createDataFrame([(1, "cashout_ratio", 0.9, 0.95), (1, "night_frac", 0.05, 0.4), (1, "unknown", 9.0, 1.0), (2, "night_frac", -1.0, 0.2)], "account long, feature string, contribution double, value double")
+    reasons = spark.createDataFrame([(1, "cashout", 0.9, 0.95), (1, "night_frac", 0.05, 0.4), (1, "unknown", 9.0, 1.0), (2, "night_frac", -1.0, 0.2)], "account long, feature string, contribution double, value double")
     known = spark.createDataFrame([(1, 0.6, 4, "R1", 500_000), (2, 0.2, None, None, None)], "account long, graph double, ring_size long, ring_id string, ring_paise long")
     found = explain.evidence(known, reasons)
     assert {r.account: [(e.code, e.severity) for e in r.evidence] for r in found.collect()} == {1: [("CASH_OUT", "HIGH"), ("RING_MEMBERSHIP", "HIGH"), ("OFF_HOURS", "INFO")], 2: []}
@@ -296,3 +296,73 @@ def test_engine_end_to_end(passthrough, accounts):
     scores = engine.score_all()
     assert {r.band for r in scores.collect()} <= {"LOW", "MEDIUM", "HIGH", "CRITICAL"}
     assert engine.score_transactions(passthrough, scores).count() == 3
+
+
+def brute_shapley(found, row):
+    """Attributions of one row by all subsets of all features."""
+    import itertools
+    import math
+
+    def worth(known):
+        return sum(leaf.value * math.prod(float(low < row[f] <= high) if f in known else share for f, (low, high, share) in leaf.ways.items()) for leaf in found)
+
+    n, out = len(row), []
+    for f in range(n):
+        rest = [x for x in range(n) if x != f]
+        out.append(sum(math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n) * (worth({*s, f}) - worth(set(s))) for k in range(n) for s in itertools.combinations(rest, k)))
+    return out
+
+
+def test_attributions_are_shapley_values(spark):
+    import random
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from riskgraph.operators import attribution
+
+    draw = random.Random(4)
+    made = [(i, *(draw.random() for _ in range(4))) for i in range(200)]
+    rows = spark.createDataFrame([(*r, int(r[1] + r[2] * r[3] > 0.9), 1.0) for r in made], "account long, a double, b double, c double, d double, label int, weight double")
+    names = ["a", "b", "c", "d"]
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    model = models.boosted(5).fit(vectors)
+    found = attribution.leaves(model)
+    got = {}
+    for r in attribution.attributions(rows, model, names).collect():
+        got.setdefault(r.account, {})[r.feature] = r.contribution
+    prob = {r.account: r.p for r in model.transform(vectors).select("account", vector_to_array("probability")[1].alias("p")).collect()}
+    import math
+
+    for r in made[:60]:
+        assert [got[r[0]][n] for n in names] == pytest.approx(brute_shapley(found, r[1:]), abs=1e-9)
+        assert 1 / (1 + math.exp(-sum(got[r[0]].values()) - attribution.base_value(found))) == pytest.approx(prob[r[0]], abs=1e-9)
+
+
+def test_a_trained_engine_scores_explains_and_is_read_back(spark, tmp_path):
+    import random
+
+    draw = random.Random(2)
+    people = [(i, "MIN" if i % 4 == 0 else "FULL", 30 + i, 20 + i % 50, False) for i in range(80)]
+    moves = []
+    for i in range(600):
+        a, b = draw.randrange(80), draw.randrange(80)
+        if a != b:
+            moves.append((f"t{i}", 1_000_000 + i * 700, a, b, draw.randrange(1000, 500_000), "UPI", f"D{a}", f"I{a % 9}", 5))
+    for k in range(0, 80, 4):  # every fourth account takes money in and sends it on at once
+        for j in range(6):
+            at = 1_100_000 + k * 900 + j * 60
+            moves += [(f"in{k}-{j}", at, (k + 7 * j + 1) % 80, k, 9_000_000, "IMPS", None, None, 1), (f"out{k}-{j}", at + 20, k, -1, 8_900_000, "ATM", f"D{k}", None, 1)]
+    ledger = spark.createDataFrame(moves, LEDGER)
+    accounts = spark.createDataFrame(people, "account long, kyc string, vintage_days long, age long, merchant boolean")
+    truth = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "account long, label int")
+    engine = RiskEngine(ledger, accounts).train(truth, trees=5)
+    scores = engine.score_all()
+    got = {r.account: r for r in scores.collect()}
+    assert len(got) == 80 and {"xgb", "graph", "temporal", "intel", "prob", "risk", "band"} <= set(scores.columns)
+    assert sum(got[i].risk for i in range(0, 80, 4)) / 20 > sum(got[i].risk for i in range(80) if i % 4) / 60 + 30
+    engine.save(str(tmp_path / "engine"))
+    again = {r.account: r.risk for r in RiskEngine(ledger, accounts).load(str(tmp_path / "engine")).score_all().collect()}
+    assert again == pytest.approx({a: r.risk for a, r in got.items()})
+    told = engine.explain(scores, accounts.where("account = 0")).collect()
+    assert len(told) == 1 and told[0].evidence and "Account 0" in told[0].narrative
