@@ -180,10 +180,13 @@ def device_stats(ledger: DataFrame, accounts: DataFrame, column: str = "device")
 
 
 def behaviour(ledger: DataFrame, accounts: DataFrame, end: int | None = None) -> DataFrame:
-    """All features of all accounts. Every part is partitioned by account, so Spark shuffles the events once for them."""
-    ledger = as_of(ledger, end)
+    """All features of all accounts. The ledger as of end and its events are written once to the shared folder, as a dozen parts
+    each read the few columns that they need, and shuffle these by account or by pair."""
+    from riskgraph.operators.graph import settled
+
+    ledger = settled(as_of(ledger, end))
     bounds = ledger.agg(F.min("ts_s"), F.max("ts_s")).first()
-    events = event_view(ledger, accounts)
+    events = settled(event_view(ledger, accounts))
     begin, end = bounds[0] or 0, end if end is not None else bounds[1] or 0
     parts = [flow_totals(events), amount_spread(events), rapid_passthrough(events), debit_delays(events), counterparties(events), reciprocity(events), bursts(events), timing(events, begin, end), structuring(events), channel_mix(events), device_stats(ledger, accounts), device_stats(ledger, accounts, "ip")]
     out = accounts
