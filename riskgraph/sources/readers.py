@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,14 +60,45 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t" if suffix in ("tsv", "tab") else ",")
 
 
-def load_tables(spark: SparkSession, folder: str, form: str = "parquet") -> dict[str, DataFrame]:
-    reader = spark.read.option("header", True)
-    return {name: reader.schema(schema).format(form).load(f"{folder}/{name}.{form}") for name, schema in SCHEMAS.items()}
+def load_tables(spark: SparkSession, folder: str, forms: tuple[str, ...] = ("parquet", "csv")) -> dict[str, DataFrame]:
+    """The ledger's tables, each in the first of the forms that the folder has it in."""
+    reader, out = spark.read.option("header", True), {}
+    for name, schema in SCHEMAS.items():
+        for form in forms:
+            try:
+                out[name] = reader.schema(schema).format(form).load(f"{folder}/{name}.{form}")
+                break
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND" or form == forms[-1]:
+                    raise
+    return out
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet") -> None:
+def save_tables(tables: dict[str, DataFrame], folder: str, form: str = "parquet", meta: dict[str, object] | None = None) -> None:
+    """The tables, and with meta a table of one row of JSON that tells about them."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).format(form).save(f"{folder}/{name}.{form}")
+    if meta is not None:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta.json")
+
+
+def load_meta(spark: SparkSession, folder: str) -> dict[str, object]:
+    return json.loads("".join(r.value for r in spark.read.text(f"{folder}/meta.json").collect()))
+
+
+def load_dictionary(spark: SparkSession, path: str, column: str | None = None) -> list[str]:
+    """Column names of a wide extract from a dictionary file of any form that read_any() reads: those of the column, by default
+    the first, stripped, in order, each once. A dictionary is metadata of a few thousand names, so the driver holds it."""
+    table = read_any(spark, path)
+    rows = table.select(column or table.columns[0]).collect()
+    return list(dict.fromkeys(r[0].strip() for r in rows if r[0] and r[0].strip()))
+
+
+def save_predictions(scored: DataFrame, path: str, keys: list[str], prob: str = "prob", threshold: float = 0.5) -> None:
+    """keys as they came, proba and pred (0 or 1) as CSV with a header."""
+    out = scored.select(*keys, F.col(prob).alias("proba"), (F.col(prob) >= threshold).cast("int").alias("pred"))
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def native_ledger(transactions: DataFrame) -> DataFrame:

@@ -366,3 +366,32 @@ def test_a_trained_engine_scores_explains_and_is_read_back(spark, tmp_path):
     assert again == pytest.approx({a: r.risk for a, r in got.items()})
     told = engine.explain(scores, accounts.where("account = 0")).collect()
     assert len(told) == 1 and told[0].evidence and "Account 0" in told[0].narrative
+
+
+def test_tables_go_out_and_come_back(spark, tmp_path):
+    folder = str(tmp_path / "world")
+    empty = {name: spark.createDataFrame([], schema) for name, schema in readers.SCHEMAS.items()}
+    rings = spark.createDataFrame([("R1", "CHAIN", 3, "a,b,c", "a", "c", 5, False, True, 1.5, 1)], readers.SCHEMAS["rings"])
+    readers.save_tables({k: v for k, v in empty.items() if k != "rings"}, folder, meta={"seed": 7, "days": 120})
+    readers.save_tables({"rings": rings}, folder, "csv")
+    back = readers.load_tables(spark, folder)
+    assert set(back) == set(readers.SCHEMAS) and back["rings"].collect() == rings.collect() and back["iocs"].count() == 0
+    assert readers.load_meta(spark, folder) == {"seed": 7, "days": 120}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.load_tables(spark, str(tmp_path / "nowhere"))
+
+
+def test_dictionary_and_predictions(spark, tmp_path):
+    (tmp_path / "names.csv").write_text("name,about\n AVG_CASH_CR_AMT_L7D ,x\nAGE,y\n,z\nAGE,again\n")
+    assert readers.load_dictionary(spark, str(tmp_path / "names.csv")) == ["AVG_CASH_CR_AMT_L7D", "AGE"]
+    scored = spark.createDataFrame([("k1", 0.7), ("k2", 0.2), ("k3", None)], "id string, prob double")
+    readers.save_predictions(scored, str(tmp_path / "out"), ["id"])
+    got = {r.id: r.pred for r in spark.read.csv(str(tmp_path / "out"), header=True, inferSchema=True).collect()}
+    assert got == {"k1": 1, "k2": 0, "k3": None}
+
+
+def test_rows_that_may_not_enter(spark):
+    rows = [("a", 1, 2, 5, "UPI", 1), ("b", 1, 2, 0, "UPI", 1), ("c", None, 2, 5, "CASH", -1), ("d", 1, 2, None, None, None)]
+    fine, out = intel.validated(spark.createDataFrame(rows, "txn_id string, src long, dst long, paise long, channel string, ben_age long"), ("UPI",))
+    assert [r.txn_id for r in fine.collect()] == ["a"]
+    assert {r.txn_id: r.reasons for r in out.collect()} == {"b": "AMOUNT", "c": "CHANNEL,PARTY,BENEFICIARY_AGE", "d": "AMOUNT,CHANNEL"}

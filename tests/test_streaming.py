@@ -24,3 +24,29 @@ def test_budget_over_a_stream(spark, tmp_path):
     requests = spark.readStream.schema("actor string, seq long, ts_s long, action string").parquet(str(tmp_path / "in"))
     rows = drained(decide.freeze_budget(requests, budget=2), "budget").collect()
     assert sorted((r.seq, r.granted) for r in rows) == [(0, True), (1, True), (2, False), (3, False), (4, False)]
+
+
+def test_sessions_close_after_a_gap(spark, tmp_path):
+    at = [0, 100, 200, 9000, 9100, 90_000]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(at)], "event_id long, s long, user_id long").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = drained(velocity.sessions(stream, gap="30 minutes"), "sessions").collect()
+    # the last session is still open
+    assert sorted(r.n for r in got) == [2, 3]
+
+
+def test_an_event_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, 100 + i) for i in range(9)], "event_id long, s long").selectExpr("event_id", "timestamp_seconds(s) AS ts")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    assert drained(velocity.once(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "once").count() == 3
+
+
+def test_decisions_on_a_stream(spark, tmp_path):
+    schema = "txn_id string, ts_s long, src long, dst long, paise long, channel string, device string, ip string, ben_age double"
+    rows = spark.createDataFrame([("t1", 1, 1, 2, 3_000_000, "UPI", None, None, 0.2), ("t2", 2, 2, -1, 100, "ATM", None, None, 50.0), ("t3", 3, 8, 9, 100, "UPI", None, None, None)], schema)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    risk = spark.createDataFrame([(1, 10.0), (2, 70.0)], "account long, risk double")
+    got = {r.txn_id: r for r in drained(velocity.decide(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), risk), "decided").collect()}
+    assert (got["t1"].score, got["t1"].action, got["t1"].reasons) == (88.0, "BLOCK", "HIGH_RISK_BENEFICIARY,FRESH_BENEFICIARY")
+    assert (got["t2"].score, got["t2"].reasons) == (70 * 0.35 + 12, "CASH_OUT_ATTEMPT") and got["t3"].action == "ALLOW"
