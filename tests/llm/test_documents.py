@@ -101,6 +101,14 @@ def test_packing(docs, rows):
             assert all(ids[s : s + len(part)] == part for s, part, _ in mine)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables aren't there")
+def test_little_padding(spark):
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.max("end").alias("longest"), F.count_if(F.col("n") != F.col("end")).alias("gaps")).first()
+    assert filled.longest <= 2048 and filled.gaps == 0
+    assert filled.sequences * 2048 - filled.tokens <= 0.01 * filled.tokens
+
+
 def test_cut_plan_covers_every_length():
     import numpy as np
 

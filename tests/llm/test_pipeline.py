@@ -94,3 +94,8 @@ def test_packing_has_every_token_once(kept):
         got.update(memoryview(r.ids).cast("I").tolist())
         full[r.sequence_id] += r.length
     assert got == want and max(full.values()) <= 2048
+
+
+def test_whole_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
