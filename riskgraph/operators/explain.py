@@ -124,3 +124,26 @@ def filings(alerts: DataFrame, ledger: DataFrame, now: int, most: int = 50) -> D
         F.struct(F.coalesce("n", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total_paise"), F.coalesce(F.col("detail").cast("array<struct<place:int,txn_id:string,ts_s:bigint,direction:string,counterparty:bigint,paise:bigint,channel:string>>"), none).alias("detail")).alias("transactions"),
     ))
     return alerts.join(listed, "account", "left").select("account", F.concat(F.lit("STR-"), F.col("account").cast("string")).alias("reference"), F.lit(now + C.STR_FILING_DAYS * 86400).alias("due_s"), report.alias("report"))
+
+
+REPORT = (
+    "status string, subject struct<account_id:bigint>, suspicion struct<risk_score:double,risk_band:string,summary:string,grounds:array<struct<code:string,detail:string>>>, "
+    "transactions struct<count:bigint,total_paise:bigint,detail:array<struct<place:int,txn_id:string,ts_s:bigint,direction:string,counterparty:bigint,paise:bigint,channel:string>>>"
+)
+
+
+def filing_texts(filed: DataFrame) -> DataFrame:
+    """account, text: each draft filing as lines for a reader, with its grounds numbered. A part that is null is an empty word."""
+    rows = filed.withColumn("r", F.from_json("report", REPORT))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    rupees = lambda paise: F.format_number(paise / 100, 2)
+    grounds = F.transform(F.coalesce("r.suspicion.grounds", F.array().cast("array<struct<code:string,detail:string>>")), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), said(x["code"]), F.lit(": "), said(x["detail"])))
+    lines = F.concat(
+        F.array(
+            F.concat(F.lit("Draft report "), said(F.col("reference")), F.lit(" ("), said(F.col("r.status")), F.lit(")")), F.concat(F.lit("Due: "), F.date_format(F.timestamp_seconds("due_s"), "yyyy-MM-dd HH:mm")),
+            F.concat(F.lit("Account: "), said(F.col("r.subject.account_id"))), F.concat(F.lit("Risk: "), said(F.col("r.suspicion.risk_score")), F.lit(" "), said(F.col("r.suspicion.risk_band"))), said(F.col("r.suspicion.summary")), F.lit("Grounds:"),
+        ),
+        grounds,
+        F.array(F.concat(F.lit("Transactions: "), said(F.col("r.transactions.count")), F.lit(", INR "), said(rupees(F.col("r.transactions.total_paise")))), F.lit("Not filed until an officer has signed it.")),
+    )
+    return rows.select("account", F.array_join(lines, "\n").alias("text"))

@@ -231,6 +231,10 @@ def test_narratives_and_filings(spark):
 
     report = json.loads(filed.report)
     assert filed.due_s == 1000 + 7 * 86400 and report["transactions"]["count"] == 2 and [t["direction"] for t in report["transactions"]["detail"]] == ["CREDIT", "DEBIT"]
+    bare = spark.createDataFrame([(None, None, 0, "{}")], "account long, reference string, due_s long, report string")
+    texts = [r.text.split("\n") for r in explain.filing_texts(explain.filings(alerts, ledger, 1000).union(bare)).orderBy("account").collect()]
+    assert texts[1][0] == "Draft report STR-1 (DRAFT_PENDING_HUMAN_REVIEW)" and texts[1][6].startswith("1. CASH_OUT: ") and "Transactions: 2, INR 1.50" in texts[1]
+    assert texts[0][0] == "Draft report  ()" and "Transactions: , INR " in texts[0]
 
 
 def test_folds_share_positives(spark):
