@@ -57,7 +57,7 @@ def lead_summary(spark, sf):
 
 
 def out_of_time(spark, sf):
-    a = S.read_accounts(spark, sf).where("account % 11 = 0")
+    a = S.read_accounts(spark, sf)
     rings = a.select(F.col("account").alias("ring"), F.concat_ws(",", "account", F.col("account") + 1, F.lit("")).alias("members"), (F.col("account") % 2 == 0).alias("late"))
     return reports.out_of_time(rings, R.standing_risk(spark, sf))
 
@@ -201,7 +201,7 @@ def narratives(spark, sf):
 
 
 def filings(spark, sf):
-    rows = R.standing_risk(spark, sf).where("risk >= 95").join(explained(spark, sf), "account")
+    rows = R.standing_risk(spark, sf).where("risk >= 40").join(explained(spark, sf), "account")
     rows = rows.join(explain.narrative(rows), "account")
     return explain.filings(rows, S.read_ledger(spark, sf), R.LEDGER_NOW)
 
@@ -274,7 +274,7 @@ SELECT *, round(CAST(detected_never_named AS DOUBLE) / greatest(detected, 1), 4)
     "lead_times": LEADS + "SELECT * FROM ld",
     "lead_summary": LEADS + """SELECT count(*) AS eligible, count(alert_s) AS detected, count(*) FILTER (alert_s IS NOT NULL AND ticket_s IS NULL) AS never_ticketed, count(hours) AS "both", count(*) FILTER (hours > 0) AS before, count(*) FILTER (hours <= 0) AS after,
 round(CAST(count(*) FILTER (hours > 0) AS DOUBLE) / greatest(count(hours), 1), 4) AS share_before, round(median(hours), 2) AS median_hours, round(avg(hours), 2) AS mean_hours, round(quantile_cont(hours, 0.9), 2) AS p90_hours FROM ld""",
-    "out_of_time": with_(*BASE) + """, late AS (SELECT account FROM acc WHERE account % 22 = 0), m AS (SELECT account FROM late UNION SELECT account + 1 FROM late)
+    "out_of_time": with_(*BASE) + """, late AS (SELECT account FROM acc WHERE account % 2 = 0), m AS (SELECT account FROM late UNION SELECT account + 1 FROM late)
 SELECT (SELECT count(*) FROM late) AS late_rings, count(*) AS mules, count(*) FILTER (risk >= 40) AS detected, round(count(*) FILTER (risk >= 40) / CAST(greatest(count(*), 1) AS DOUBLE), 4) AS recall, median(risk) AS median_score FROM m JOIN rk USING (account)""",
     "equal_recall": with_(*BASE) + """, x AS (SELECT account, label, risk, account % 4 = 0 OR account % 33 = 0 AS alert FROM tr JOIN rk USING (account)), r AS (SELECT count(*) FILTER (alert) AS ra, count(*) FILTER (alert AND label = 1) AS rt, sum(label) AS m FROM x),
 t AS (SELECT max(risk) AS threshold FROM (SELECT a.risk FROM (SELECT DISTINCT risk FROM x) a JOIN x b ON b.risk >= a.risk GROUP BY 1 HAVING sum(b.label) >= (SELECT rt FROM r))), s AS (SELECT count(*) AS alerts, CAST(sum(label) AS BIGINT) AS tp FROM x WHERE risk >= (SELECT threshold FROM t))
