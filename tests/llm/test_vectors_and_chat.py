@@ -106,3 +106,34 @@ def test_no_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.expand(df)).count() == 0 and topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert near_vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_top_k_beyond_doubles(spark):
+    """Scores over 2**53 that differ by one, and extra columns of clashing names."""
+    draw = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in draw.integers(10**6, 10**7, 6)], "x") for i in range(60)]
+    rows += [(100, [1e7, 1.0, 0.0, 0.0, 0.0, 0.0], "x"), (101, [1e7, 1.0, 1.0 / 64, 0.0, 0.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, other string").toDF("vec_id", "embedding", "VEC_ID")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, k=70).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows}
+    want = {}
+    for q in (0, 20, 40, 100):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert max(s for _, s in want.values()) > 2**53 and got == want
+
+
+def test_search_in_parts():
+    """Any kth score handed on loses nothing that reaches it, whatever the tree."""
+    draw = np.random.default_rng(4)
+    points, ids = draw.integers(-3, 4, (300, 5)).astype(float), np.arange(300)
+    queries, own = points[:20], ids[:20]
+    scores = queries @ points.T
+    scores[np.arange(20), own] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=-1)[:, :7]
+    want = {(q, int(i), scores[q, i]) for q in range(20) for i in order[q]}
+    for leaf in (1, 16, 1000):
+        tree = topk.build(points, ids, leaf)
+        for kth in (np.full(20, -np.inf), scores[np.arange(20), order[:, 6]]):
+            row, vec, score = topk.search(queries, own, kth, tree, 7)
+            assert set(zip(row.tolist(), vec.tolist(), score.tolist(), strict=True)) == want
