@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +60,33 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, which allocators else keep for the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(work: Callable) -> Callable:
+    """work, a function of batches or of one group's table, that leaves no freed memory behind: a worker process lives on, idle,
+    beside the JVM of its executor through stages that run no Python."""
+    if inspect.isgeneratorfunction(work):
+
+        def stream(batches: Iterator) -> Iterator:
+            yield from work(batches)
+            give_back()
+
+        return stream
+
+    def once(group):
+        out = work(group)
+        give_back()
+        return out
+
+    return once
+
+
 def shuffle_width(df: DataFrame, least: int = 8) -> int:
     """Partitions for what a scan hands on: as many as it has itself, or the session's number if that is more."""
     scanned = df._jdf.queryExecution().toRdd().getNumPartitions()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import cut, pick
+from riskgraph.llm.common import cut, frugal, pick
 
 UNKNOWN = "und"
 #: Lengths of the n-grams, in code points of the lower-cased text.
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, sample: int = 20_000, buckets: int = 1 << 16, alpha
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(bucket)), pa.array(bucket), pa.array(np.append(total[bucket[:-1]], texts[language]))], names=["lang", "bucket", "n"])
 
     # the sample is bounded, so a fixed number of tasks counts it, and what they hand on is bounded too
-    counts = usable.select("text", "lang").repartition(FIT_TASKS).mapInArrow(count, "lang string, bucket long, n long")
+    counts = usable.select("text", "lang").repartition(FIT_TASKS).mapInArrow(frugal(count), "lang string, bucket long, n long")
     counts = cut(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     texts = dict(sorted((r.lang, r.n) for r in counts.where("bucket < 0").collect()))
     languages, total, blocks = list(texts), max(1, sum(texts.values())), []
@@ -165,7 +165,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         return run
 
     for i, block in enumerate(model.blocks):
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(block), not i), empty)
+        out = out.mapInArrow(frugal(step(spark.sparkContext.broadcast(block), not i)), empty)
         if i + 1 < len(model.blocks):
             out = cut(out)
     if not model.blocks:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import components, cut, drop_table, pick, row_key, shuffle_width
+from riskgraph.llm.common import components, cut, drop_table, frugal, pick, row_key, shuffle_width
 from riskgraph.llm.meet import FILTER_BITS, MOST_FILTER_BITS, filter_of, in_filter, key_array, key_words, meetings, met
 
 #: Documents from which a token is common, and goes last in the first order.
@@ -197,8 +197,8 @@ def common_tokens(texts: DataFrame, n: int, parts: int) -> np.ndarray:
         sums = np.add.reduceat(many, head)
         return pd.DataFrame({"token": K.signed(tokens[head][sums >= COMMON]), "many": sums[sums >= COMMON]})
 
-    counted = texts.mapInArrow(count, T.StructType([*longs("part"), *binary("tokens", "many")]))
-    common = cut(counted.groupBy("part").applyInPandas(add_up, T.StructType(longs("token", "many"))))
+    counted = texts.mapInArrow(frugal(count), T.StructType([*longs("part"), *binary("tokens", "many")]))
+    common = cut(counted.groupBy("part").applyInPandas(frugal(add_up), T.StructType(longs("token", "many"))))
     least = COMMON
     while common.where(F.col("many") >= least).count() * FILTER_BITS > MOST_FILTER_BITS:
         least *= 2
@@ -242,7 +242,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(new, pa.int32())), lengths.take(pa.array(new, pa.int32())), pa.array([keys[i] for i in new], pa.binary()), pa.array([parity_map(sets[i]).tobytes() for i in new], pa.binary()), pa.array(prints[first:last][new]), pa.array([False] * len(new))], names=schema.names)
 
     schema = T.StructType([source.schema["doc_id"], *longs("n_shingles"), *binary("class", "parity"), *longs("print"), T.StructField("is_doc", T.BooleanType())])
-    described = cut(source.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(describe, schema), "is_doc")
+    described = cut(source.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(frugal(describe), schema), "is_doc")
     docs = described.where("is_doc").select("doc_id", "n_shingles", "class")
     classes = described.where("not is_doc").groupBy(F.col("class").alias("node")).agg(F.max(F.struct("n_shingles", "parity", "print")).alias("x"))
     classes = classes.select("node", F.col("x.n_shingles").alias("size"), "x.parity", "x.print")
@@ -304,8 +304,8 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         both = both[np.append(True, (both[1:] != both[:-1]).any(1))] if len(both) else both
         return pa.Table.from_arrays([key_array(both[:, :2]), key_array(both[:, 2:])], names=pair.names)
 
-    bundles = texts.mapInArrow(prefixes, T.StructType([*longs("part"), *binary("tokens", "keys")]))
-    members = bundles.groupBy("part").applyInArrow(families, pair).distinct()
+    bundles = texts.mapInArrow(frugal(prefixes), T.StructType([*longs("part"), *binary("tokens", "keys")]))
+    members = bundles.groupBy("part").applyInArrow(frugal(families), pair).distinct()
     members = cut(members.join(classes, "node").select("family", "node", "size", "parity"))
 
     def close(table: pa.Table) -> pa.Table:
@@ -318,7 +318,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 some[rows[p]] = some[rows[q]] = True
         return table.select(pair.names).filter(pa.array(some))
 
-    left = cut(met(members, F.length("parity")).groupBy("task").applyInArrow(close, pair).distinct())
+    left = cut(met(members, F.length("parity")).groupBy("task").applyInArrow(frugal(close), pair).distinct())
     drop_table(members)
     needed = left.select("node").distinct().join(classes, "node").select(F.col("print").alias("member"))
     wanted = spark.sparkContext.broadcast(filter_of(needed))
@@ -334,7 +334,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([K.pack_sorted(sets[k]) for k in new], pa.binary())], names=["node", "tokens"])
 
-    sets = source.select("text", F.xxhash64("text").alias("print")).mapInArrow(fetch, T.StructType(binary("node", "tokens")))
+    sets = source.select("text", F.xxhash64("text").alias("print")).mapInArrow(frugal(fetch), T.StructType(binary("node", "tokens")))
     held = cut(left.join(sets.groupBy("node").agg(F.max("tokens").alias("tokens")), "node"))
     drop_table(left)
 
@@ -366,7 +366,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                         links.append((nodes[rows[p]], nodes[rows[q]]))
         return pa.Table.from_arrays([pa.array([x[s] for x in links], pa.binary()) for s in (0, 1)], names=["a", "b"])
 
-    forest = met(held, F.length("tokens")).groupBy("task").applyInArrow(verify, T.StructType(binary("a", "b")))
+    forest = met(held, F.length("tokens")).groupBy("task").applyInArrow(frugal(verify), T.StructType(binary("a", "b")))
     found = components(forest).withColumnRenamed("node", "class")
     drop_table(held)
     least = docs.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(found, "class", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from riskgraph.llm import kernels as K
-from riskgraph.llm.common import cut, pick, shuffle_width
+from riskgraph.llm.common import cut, frugal, pick, shuffle_width
 from riskgraph.llm.pieces import pieces_of
 
 #: Share of a slot that a piece may leave empty rather than be cut once more.
@@ -157,7 +157,7 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
         return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(x) for x in (start, size, total, kind, seq, offset)), pa.array(raw, pa.binary())], names=schema.names)
 
     key_type = to_arrow_type(source.schema["doc_id"].dataType)
-    filled = cut(source.mapInArrow(fill, schema))
+    filled = cut(source.mapInArrow(frugal(fill), schema))
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     placed = [filled.where(F.col("sequence_id") != OPEN)]
     left = filled.where(F.col("sequence_id") == OPEN)
@@ -194,5 +194,5 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
         yield from batch.to_batches()
 
     last_schema = to_arrow_schema(schema)
-    placed.append(left.orderBy("kind", F.col("length").desc(), "doc_id", "start").coalesce(1).mapInArrow(first_fit, schema))
+    placed.append(left.orderBy("kind", F.col("length").desc(), "doc_id", "start").coalesce(1).mapInArrow(frugal(first_fit), schema))
     return reduce(DataFrame.union, (x.select(*names) for x in placed))
